@@ -12,12 +12,12 @@ from claimgraph.session import materialise
 PAIR = ["source", "target"]
 
 
-def _near_target(pairs: DataFrame, edges: DataFrame, hops: int) -> list[DataFrame]:
-    """For 1..hops: the (pair, node) from which the target is that near, or nearer."""
+def _near_target(targets: DataFrame, edges: DataFrame, hops: int) -> list[DataFrame]:
+    """For 0..hops: the (target, node) from which the target is that near, or nearer."""
     links = edges.select(F.col("next").alias("node"), F.col("node").alias("prior")).distinct()
-    near = [pairs.withColumn("node", F.col("target"))]
+    near = [targets.withColumn("node", F.col("target"))]
     for _ in range(hops):
-        step = near[-1].join(links, "node").select(*PAIR, F.col("prior").alias("node"))
+        step = near[-1].join(links, "node").select("target", F.col("prior").alias("node"))
         near.append(step.unionByName(near[-1]).distinct())
     return near
 
@@ -48,7 +48,7 @@ def find_paths(
         "claim_id",
         "confidence_point",
     )
-    near = _near_target(pairs, edges, min(2, max_depth - 1))
+    near = _near_target(pairs.select("target").distinct(), edges, min(2, max_depth - 1))
 
     frontier = pairs.select(
         *PAIR,
@@ -79,7 +79,7 @@ def find_paths(
         ahead = step.where(F.col("node") != F.col("target"))
         remaining = max_depth - depth
         if remaining < len(near):
-            ahead = ahead.join(near[remaining], [*PAIR, "node"], "left_semi")
+            ahead = ahead.join(near[remaining], ["target", "node"], "left_semi")
         entered = (
             ahead.join(visited, [*PAIR, "node"], "left_anti")
             .groupBy(*PAIR, "node")

@@ -102,7 +102,7 @@ SELECT t.*, s.status, coalesce(p.manual, t.source_point) AS confidence_point,
        make_date(t.year,1,1) AS start_earliest, make_date(t.year,12,31) AS start_latest
 FROM attributes t JOIN attribute_status s USING (claim_id) LEFT JOIN attribute_points p USING (claim_id)""",
     "claims": """
-SELECT claim_id, subject_entity_id, object_entity_id, predicate, NULL AS value, NULL AS name_kind, confidence_point,
+SELECT claim_id, subject_entity_id, object_entity_id, predicate, NULL::VARCHAR AS value, NULL::VARCHAR AS name_kind, confidence_point,
        CASE WHEN confidence_point IS NULL THEN 'unscored' ELSE 'source' END AS origin, status,
        start_earliest, start_latest, end_earliest, end_latest, approximate, method, asserted_by_agent_id,
        recorded_day, confidence_point AS source_point FROM ties
