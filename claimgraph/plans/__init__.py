@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("columns", "reads")
+MODULES = ("columns", "reads", "models")
 
 
 def all_queries():
