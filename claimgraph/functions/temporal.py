@@ -98,9 +98,7 @@ def parse_year(raw: Column) -> Column:
     return F.struct(year.alias("year"), ((text != "") & year.isNull()).alias("bad"))
 
 
-def _edge(which: str | None, year: Column) -> Column:
-    if which is None:
-        return F.lit(None).cast("date")
+def _edge(which: str, year: Column) -> Column:
     return F.make_date(year, *((F.lit(1), F.lit(1)) if which == "first" else (F.lit(12), F.lit(31))))
 
 
@@ -110,22 +108,26 @@ def clean_code(code: Column) -> Column:
     return F.when(text == "", F.lit("IN")).otherwise(text)
 
 
+def _coded_edge(key: Column, year: Column, side: int) -> Column:
+    """The bound a code gives on one side; codes not listed read as ``IN``."""
+    def codes(edge: str | None) -> list[str]:
+        return [code for code, rule in DATE_CODES.items() if rule[side] == edge]
+
+    usual = DATE_CODES["IN"][side]
+    other = "last" if usual == "first" else "first"
+    return F.when(key.isin(codes(other)), _edge(other, year)).when(
+        ~key.isin(codes(None)), _edge(usual, year)
+    )
+
+
 def interpret_endpoint(code: Column, year: Column) -> Column:
     """``struct<earliest, latest, approximate>`` of one coded year; unknown code = IN."""
     key = F.upper(clean_code(code))
-    key = F.when(key.isin(list(DATE_CODES)), key).otherwise(F.lit("IN"))
-
-    def pick(make):
-        expr = None
-        for name, rule in DATE_CODES.items():
-            expr = (expr.when if expr is not None else F.when)(key == name, make(rule))
-        return expr
-
-    absent = year.isNull()
+    circa = [name for name, rule in DATE_CODES.items() if rule[2]]
     return F.struct(
-        F.when(~absent, pick(lambda r: _edge(r[0], year))).alias("earliest"),
-        F.when(~absent, pick(lambda r: _edge(r[1], year))).alias("latest"),
-        (~absent & pick(lambda r: F.lit(r[2]))).alias("approximate"),
+        _coded_edge(key, year, 0).alias("earliest"),
+        _coded_edge(key, year, 1).alias("latest"),
+        (year.isNotNull() & key.isin(circa)).alias("approximate"),
     )
 
 

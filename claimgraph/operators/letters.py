@@ -31,25 +31,15 @@ def partial_date(value: Column, is_end: bool) -> Column:
     The last day of a month is always the 28th.
     """
     text = F.trim(value)
-    parts = F.split(text, "-")
-
-    def pad(i: int, width: int) -> Column:
-        part = F.get(parts, F.lit(i)).cast("int").cast("string")
-        return F.when(F.length(part) < width, F.lpad(part, width, "0")).otherwise(part)
-
     month_end, year_end = ("-28", "-12-31") if is_end else ("-01", "-01-01")
-    widened = (
-        F.when(text.rlike(r"^\d{4}$"), F.concat(pad(0, 4), F.lit(year_end)))
-        .when(
-            text.rlike(r"^\d{1,6}-\d{1,2}$"),
-            F.concat(pad(0, 4), F.lit("-"), pad(1, 2), F.lit(month_end)),
-        )
-        .when(
-            text.rlike(r"^\d{1,6}-\d{1,2}-\d{1,2}$"),
-            F.concat(pad(0, 4), F.lit("-"), pad(1, 2), F.lit("-"), pad(2, 2)),
-        )
+    rest = (
+        F.when(text.rlike(r"^\d{4}$"), F.lit(year_end))
+        .when(text.rlike(r"^\d{1,6}-\d{1,2}$"), F.lit(month_end))
+        .when(text.rlike(r"^\d{1,6}-\d{1,2}-\d{1,2}$"), F.lit(""))
     )
-    return widened.try_cast("date")
+    # The date cast wants four digits of year or more.
+    padded = F.regexp_replace(F.concat(text, rest), r"^(\d{1,3})-", "0000$1-")
+    return padded.try_cast("date")
 
 
 def letter_interval(action: Column) -> Column:

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A plain projection may be merged into every filter and projection above it, which
+    repeats costly expressions such as parsing. A generator of one struct is not.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The whole first row of each key, NULL keys being equal.
 

@@ -39,6 +39,11 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table over all cores when its file is too small to be split by itself."""
+        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     # Dimensions ------------------------------------------------------------
     @cached_property
     def relation_types(self) -> DataFrame:
@@ -101,7 +106,7 @@ class Corpus:
     @cached_property
     def ties(self) -> DataFrame:
         """Current tie claims, with the source and record columns they rest on."""
-        line, order = self.table("lineitem"), self.table("orders")
+        line, order = self.spread("lineitem"), self.table("orders")
         place = (
             self.table("supplier")
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))

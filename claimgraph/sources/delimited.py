@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,26 +32,35 @@ def read_delimited(
     return rows if record_kind is None else rows.withColumn("record_kind", F.lit(record_kind))
 
 
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-            digest = hashlib.sha256()
-            with store.open_input_stream(name) as stream:
-                while chunk := stream.read(HASH_CHUNK):
-                    digest.update(chunk)
-            digests.append("sha256:" + digest.hexdigest())
-        yield batch.assign(actual=digests)
+def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, actual``: each file is streamed through one task in small chunks.
 
+    A digest runs over a file in order, so a file is the unit of work; files are spread
+    over the tasks and none is held in memory.
+    """
+    chunk_size = HASH_CHUNK
+
+    def digest_files(batches):
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for path in batch["path"]:
+                store, name = (
+                    fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+                )
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as stream:
+                    while chunk := stream.read(chunk_size):
+                        digest.update(chunk)
+                digests.append("sha256:" + digest.hexdigest())
+            yield batch.assign(actual=digests)
 
-def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, actual``: each file is streamed through one task in small chunks."""
     named = spark.createDataFrame([(p,) for p in paths], "path string")
     return named.repartition(max(1, len(paths)), "path").mapInPandas(
-        _hash_files, "path string, actual string"
+        digest_files, "path string, actual string"
     )
 
 
