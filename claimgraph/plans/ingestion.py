@@ -769,9 +769,9 @@ def store(c: Corpus) -> ingest.Store:
     return ingest.Store(c.relation_types, c.anchors, known, records, held, support)
 
 
-def imported(c: Corpus) -> dict[str, DataFrame]:
+def imported(c: Corpus, lines: DataFrame | None = None) -> dict[str, DataFrame]:
     return ingest.import_claims(
-        wire_lines(c), store(c), batch_no=0, agent_id=1, run_id="run-1",
+        wire_lines(c) if lines is None else lines, store(c), batch_no=0, agent_id=1, run_id="run-1",
         recorded_at=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"),
     )
 
