@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.session import materialise
+from claimgraph.llm.scratch import Scratch
 
 MAX_ROUNDS = 60
 
@@ -40,13 +40,15 @@ def components(links: DataFrame) -> DataFrame:
     The steps end in a forest of stars. Each round is written to the shared folder, and the driver
     sees only a count and a checksum of it. No links give no rows.
     """
-    stars = materialise(
+    scratch = Scratch(links.sparkSession, "components")
+    stars = scratch.write(
         links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(),
         "links",
     )
     seen = None
-    for _ in range(MAX_ROUNDS):
-        stars = materialise(_small_star(_large_star(stars)), "stars")
+    for turn in range(MAX_ROUNDS):
+        stars = scratch.write(_small_star(_large_star(stars)), f"stars-{turn}")
+        scratch.drop("links" if turn == 0 else f"stars-{turn - 1}")
         state = stars.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.llm.components import components
+from claimgraph.llm.scratch import Scratch
 from claimgraph.llm.words import chunks, mix, per_row, words_of
-from claimgraph.session import materialise
 
 COORDINATES = 32
 MATCHES = 14
@@ -150,13 +150,6 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     ).select("rep", "n_shingles", "centre", "p.k", "p.value")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    a = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("set_b"))
-    return pairs.join(a, "u").join(b, "v").mapInArrow(_confirm(similarity), "u long, v long")
-
-
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -177,8 +170,9 @@ def near_duplicates(
     different components are tried after it. So a large group of near copies takes a number of tries near its size,
     and no link between components is lost.
     """
+    scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select("doc_id", "text")
-    described = materialise(
+    described = scratch.write(
         texts.mapInArrow(
             _describe(size), "doc_id long, n_shingles long, high long, low long, signature array<int>"
         ),
@@ -186,12 +180,12 @@ def near_duplicates(
     )
     named = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["high", "low", "n_shingles"]
-    classes = materialise(
+    classes = scratch.write(
         named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
         "classes",
     )
     # Sets whose sizes the threshold still allows lie at most one band apart.
-    posted = materialise(
+    posted = scratch.write(
         _postings(classes, matches).withColumn(
             "band", F.floor(F.log("n_shingles") / (F.log(F.lit(100 / similarity)) + 1e-9))
         ),
@@ -210,25 +204,31 @@ def near_duplicates(
         .select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
         .distinct()
     )
-    wanted = posted.select("rep").distinct()
-    sets = materialise(
-        texts.join(wanted, texts.doc_id == wanted.rep)
-        .select("rep", "text")
-        .mapInArrow(_sets(size), "rep long, shingles binary"),
-        "sets",
-    )
-    signs = materialise(
-        classes.join(wanted, "rep", "left_semi").select("rep", "signature"), "posted-signatures"
-    )
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        a = signs.select(F.col("rep").alias("u"), F.col("signature").alias("sig_a"))
-        b = signs.select(F.col("rep").alias("v"), F.col("signature").alias("sig_b"))
-        counted = pairs.join(a, "u").join(b, "v").mapInArrow(_collisions(matches), "u long, v long")
-        return _verified(counted, sets, similarity)
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        """Candidate pairs with collisions enough, confirmed on the full sets of those they name."""
+        signs = classes.select("rep", "signature")
+        counted = scratch.write(
+            pairs.join(signs.toDF("u", "sig_a"), "u").join(signs.toDF("v", "sig_b"), "v")
+            .mapInArrow(_collisions(matches), "u long, v long"),
+            f"{name}-counted",
+        )
+        wanted = counted.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+        sets = scratch.write(
+            texts.join(wanted, texts.doc_id == wanted.rep)
+            .select("rep", "text")
+            .mapInArrow(_sets(size), "rep long, shingles binary"),
+            f"{name}-sets",
+        )
+        sure = scratch.write(
+            counted.join(sets.toDF("u", "set_a"), "u").join(sets.toDF("v", "set_b"), "v")
+            .mapInArrow(_confirm(similarity), "u long, v long").distinct(),
+            f"{name}-links",
+        )
+        scratch.drop(f"{name}-counted", f"{name}-sets")
+        return sure
 
     # An id that has several texts ties their classes together.
-    members = materialise(
+    members = scratch.write(
         described.drop("signature").join(classes.drop("signature"), key, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")),
         "members",
@@ -238,8 +238,7 @@ def near_duplicates(
         .agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last")
     )
     same_id = members.join(several_texts, "doc_id").select(F.col("rep").alias("u"), "v")
-    links = materialise(alike(stars).unionByName(same_id), "star-links")
-    around = components(links)
+    around = components(alike(stars, "star").unionByName(same_id))
 
     # A list that holds one component is done. In the others the members outside the central member's
     # component meet all members, so the pairs inside a large component are never formed.
@@ -254,7 +253,7 @@ def near_duplicates(
         )
         .where("one < two").select(*in_list, "main")
     )
-    opened = materialise(
+    opened = scratch.write(
         placed.join(open_lists, in_list)
         .select(*in_list, "own", "rep", "n_shingles", "component", (F.col("component") != F.col("main")).alias("out")),
         "open-lists",
@@ -271,7 +270,8 @@ def near_duplicates(
         .select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v"))
         .distinct()
     )
-    crossed = materialise(alike(crossing), "cross-links")
+    crossed = alike(crossing, "cross")
+    scratch.drop("signatures", "classes", "postings", "open-lists")
     found = components(around.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(crossed))
     return (
         members.join(found.withColumnRenamed("node", "rep"), "rep", "left")

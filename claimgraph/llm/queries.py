@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import near
+from claimgraph.llm import decontaminate, language, near
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,18 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents on 2-word shingles at 0.8."""
     return near.near_duplicates(table(spark, folder, "documents"), size=2)
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents, learned from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.train(language.learned_from(docs)))
+
+
+@query("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with parts of benchmark items, one row per document and item."""
+    return decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
