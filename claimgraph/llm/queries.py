@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import decontaminate, language, near
+from claimgraph.llm import decontaminate, language, mixing, near, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,15 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
+
+
+@query("op3_secret_scan", secrets.oracle())
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.digest(secrets.secrets(table(spark, folder, "documents")))
+
+
+@query("op4_source_mixing", mixing.oracle())
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of all documents at the default weights: one row per document and epoch."""
+    return mixing.mixed(table(spark, folder, "documents"), with_text=False)

@@ -22,6 +22,7 @@ except ImportError:  # pragma: no cover - older interpreters
     import sre_parse as sre_parser
 
 MOST_STRINGS = 64
+_SPANS = "array<struct<start:int,no:int,end:int,kind:string>>"
 
 
 def _any_case(word: str) -> str:
@@ -142,10 +143,9 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
             (F.char_length(x["v"]) >= rule.least).alias("good"),
         ),
     )
-    kind = f"struct<start:int,no:int,end:int,kind:string>"
     state = F.aggregate(
         lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("spans")),
+        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")),
         lambda s, x: F.struct(
             (s["at"] + x["gap"] + x["size"]).alias("at"),
             F.when(
@@ -157,7 +157,7 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
             ).otherwise(s["spans"]).alias("spans"),
         ),
     )
-    return F.when(text.rlike(rule.pattern), state["spans"]).otherwise(F.array().cast(f"array<{kind}>"))
+    return F.when(text.rlike(rule.pattern), state["spans"]).otherwise(F.array().cast(_SPANS))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -189,6 +189,24 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
+
+
+
+def _marked(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``docs`` with the sorted spans of each text as ``__spans``."""
+    may = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
+    may = may.select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
+    text, none = F.coalesce(docs["text"], F.lit("")), F.array().cast(_SPANS)
+    each = [
+        _spans(text, i, r) if frozenset() in trigram_query(r.pattern)
+        else F.when(F.array_contains("__rules", i), _spans(text, i, r)).otherwise(none)
+        for i, r in enumerate(rules)
+    ]
+    return docs.join(may, docs["doc_id"].eqNullSafe(F.col("__id")), "left").select(
+        *(docs[c] for c in docs.columns), F.array_sort(F.concat(*each)).alias("__spans")
+    )
+
+
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, spans`` for every row of ``docs`` (``doc_id, text``): sorted (start, no, end, kind) structs.
 
@@ -196,21 +214,8 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     empty text has no span. Repeated rows and rows without an id get their own spans; other columns
     are ignored, and an empty table gives no rows.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    scanned = [i for i, r in enumerate(rules) if frozenset() in trigram_query(r.pattern)]
-    may = candidates(texts, rules).withColumnRenamed("doc_id", "id")
-    text = F.col("text")
-    wide = texts.join(may, texts.doc_id.eqNullSafe(may.id), "left").select(
-        "doc_id",
-        F.concat(*(
-            _spans(text, i, r) if i in scanned
-            else F.when(F.array_contains("rules", i), _spans(text, i, r)).otherwise(
-                F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
-            )
-            for i, r in enumerate(rules)
-        )).alias("spans"),
-    )
-    return wide.select("doc_id", F.array_sort("spans").alias("spans"))
+    marked = _marked(docs.select("doc_id", "text"), rules)
+    return marked.select("doc_id", F.col("__spans").alias("spans"))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -235,25 +240,57 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``<KIND>``; all rows and columns stay.
+    """``docs`` with every secret in ``text`` replaced by ``<KIND>``; all rows and other columns stay.
 
-    ``n_chars``, where there is one, is counted anew. Spans that overlap are replaced as one, by the kind
-    that starts first.
+    ``n_chars``, where there is one, is counted anew. Spans that overlap go together, under the kind that
+    starts first. A null text stays null.
     """
-    may = candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "id")
-    marked = docs.join(
-        may.select(F.col("id").alias("__id"), F.col("rules").alias("__rules")),
-        docs["doc_id"].eqNullSafe(F.col("__id")), "left",
-    )
+    marked = _marked(docs, rules)
     text = F.col("text")
-    for i, rule in enumerate(rules):
-        found = trigram_query(rule.pattern)
-        tail = rule.pattern
-        if "(" in tail.replace("(?:", ""):
-            head, _, rest = tail.partition("([")
-            cut = F.regexp_replace(text, f"({head})[{rest[:-2]}{{{rule.least},}}", f"$1<{rule.kind.upper()}>")
-        else:
-            cut = F.regexp_replace(text, tail, f"<{rule.kind.upper()}>")
-        text = cut if frozenset() in found else F.when(F.array_contains("__rules", i), cut).otherwise(text)
-    out = marked.withColumn("text", text).drop("__id", "__rules")
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    state = F.aggregate(
+        "__spans",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.when(
+            x["start"] < s["at"],
+            F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")),
+        ).otherwise(F.struct(
+            x["end"].alias("at"),
+            F.concat(
+                s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]),
+                F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")),
+            ).alias("out"),
+        )),
+        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))),
+    )
+    out = marked.withColumn("text", F.when(F.size("__spans") > 0, state).otherwise(text)).drop("__spans")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The digest in SQL: matches with the gaps between them, every rule on every text."""
+    parts, base = [], [r.kind for r in rules if r.base]
+    for no, rule in enumerate(rules):
+        whole = f"({rule.pattern})".replace("'", "''")
+        value = 2 if re.compile(whole).groups == 2 else 1
+        parts.append(f"""
+  SELECT doc_id, {no} AS no, '{rule.kind}' AS kind, s AS start, s + length(m) AS "end" FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(vs) AS v, unnest(list_transform(range(1, len(ms) + 1),
+      lambda i: coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS s
+    FROM (SELECT doc_id, regexp_extract_all(t, '{whole}', 1) AS ms, regexp_extract_all(t, '{whole}', {value}) AS vs,
+      regexp_split_to_array(t, '{rule.pattern.replace("'", "''").replace("(", "(?:").replace("(?:?:", "(?:")}') AS gs
+      FROM t WHERE regexp_matches(t, '{rule.pattern.replace("'", "''")}'))) WHERE length(v) >= {rule.least}""")
+    counts = ", ".join(f"count(*) FILTER (no = {i}) AS n_{k}" for i, k in enumerate(base))
+    zeros = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)
+    listed = "kind || ':' || start || ':' || \"end\", ',' ORDER BY start, no, \"end\""
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+g AS (
+  SELECT doc_id, {counts}, string_agg({listed}) FILTER (no < {len(base)}) AS b, string_agg({listed}) AS spans
+  FROM s GROUP BY 1)
+SELECT doc_id, {zeros}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
