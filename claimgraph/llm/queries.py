@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import decontaminate, language, mixing, near, secrets
+from claimgraph.llm import decontaminate, language, mixing, near, secrets, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,9 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """The mixture of all documents at the default weights: one row per document and epoch."""
     return mixing.mixed(table(spark, folder, "documents"), with_text=False)
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return wrapper.main_texts(table(spark, folder, "pages"))
