@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import decontaminate, language, mixing, near, secrets, wrapper
+from claimgraph.llm import chat, decontaminate, language, mixing, near, secrets, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,14 @@ def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of all pages."""
     return wrapper.main_texts(table(spark, folder, "pages"))
+
+
+@query("op8_chat_formatting", chat.ORACLE)
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one that holds the template's own marks, formatted and read back."""
+    hard = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_conversations(turns.unionByName(own)))
