@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import chat, decontaminate, language, mixing, near, secrets, wrapper
+from claimgraph.llm import chat, decontaminate, fertility, language, mixing, near, secrets, toxicity, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,16 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_conversations(turns.unionByName(own)))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of those that are not held out."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, tokeniser measures and verdicts of all documents."""
+    return fertility.quality(table(spark, folder, "documents"))

@@ -87,12 +87,18 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def words_of(column: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
-    """All words of all rows of a string column."""
+def words_of(column: pa.Array, lower: bool = False, hashed: bool = True, terms: bool = False) -> Words:
+    """All words of all rows of a string column; with ``terms``, runs of letters and digits instead."""
     data, bounds = buffers(column)
     if lower:
         data = lowered(data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if terms:
+        inside = (
+            ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90))
+            | ((data >= 48) & (data <= 57)) | (data >= 128)
+        )
+    else:
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[bounds] = True
     begins, ends = inside.copy(), inside.copy()
