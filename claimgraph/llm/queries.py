@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import chat, decontaminate, fertility, language, mixing, near, secrets, toxicity, wrapper
+from claimgraph.llm import chat, decontaminate, fertility, language, mixing, near, pii, secrets, toxicity, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, tokeniser measures and verdicts of all documents."""
     return fertility.quality(table(spark, folder, "documents"))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents, by patterns and by the model learned from a sample of them."""
+    docs = table(spark, folder, "documents")
+    return pii.personal_data(docs, pii.train(docs))
