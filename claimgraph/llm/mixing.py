@@ -97,7 +97,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 def _key(epoch: Column, mix: Mix) -> Column:
     """A row's place in an epoch of its leaf."""
-    return F.md5(F.concat(F.lit(f"{mix.seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("__id"), F.lit("")).cast("string")))
+    return F.md5(F.concat(F.lit(f"{mix.seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
 
 
 def _by_leaf(rows: DataFrame, leaves: DataFrame, small: bool) -> DataFrame:
@@ -165,12 +165,10 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), with_text: bool = True) -> DataFram
                 "n_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"),
             }
         )
-    partial = F.when(_key(F.col("whole"), mix) <= F.col("cut"), F.array(F.col("whole"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    full = F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    chosen = chosen.withColumnsRenamed({"whole": "__whole", "cut": "__cut"})
+    none, whole = F.array().cast("array<bigint>"), F.col("__whole")
+    partial = F.when(_key(whole, mix) <= F.col("__cut"), F.array(whole)).otherwise(none)
+    full = F.when(whole > 0, F.sequence(F.lit(0).cast("long"), whole - 1)).otherwise(none)
     taken = _by_leaf(rows, chosen, small).withColumn("epoch", F.explode(F.concat(full, partial)))
     keep = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")] if with_text else ["doc_id", "lang", "source"]
     return taken.select(*keep, F.col("__domain").alias("domain"), "n_tokens", "epoch")
@@ -208,7 +206,7 @@ WITH d AS (SELECT doc_id, lang, source, coalesce({domain}, '') AS domain, coales
 leaf AS (SELECT {keys}, sum(n_tokens) AS tokens FROM d GROUP BY {keys} HAVING sum(n_tokens) > 0),
 root AS (SELECT sum(tokens)::DOUBLE * {mix.share} AS budget FROM leaf),{",".join(steps)},
 p AS (SELECT *, floor(budget / tokens)::BIGINT AS whole FROM leaf JOIN g_source0 USING ({keys})),
-k AS (SELECT d.*, whole, budget - whole * tokens AS rest, md5('{mix.seed}:' || whole || ':' || doc_id) AS key
+k AS (SELECT d.*, whole, budget - whole * tokens AS rest, md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS key
   FROM d JOIN p USING ({keys})),
 o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
   - sum(n_tokens) OVER (PARTITION BY {keys}, key) AS begun FROM k)

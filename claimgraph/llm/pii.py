@@ -25,7 +25,7 @@ SAMPLE_DOCUMENTS = 20_000
 WINDOWS_OF_ONE = 4
 TRAINED_WINDOWS = 4000
 WINDOW, STRIDE = 96, 48
-EMBEDDED, HIDDEN, EPOCHS, BATCH, RATE = 12, 20, 8, 64, 0.01
+EMBEDDED, HIDDEN, STEPS, BATCH, RATE = 12, 20, 600, 64, 0.01
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -207,7 +207,7 @@ def fit(windows: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 5) ->
     values = tagger.parameters()
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     turn = 0
-    for _ in range(EPOCHS):
+    while turn < STEPS:
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]

@@ -34,6 +34,8 @@ _SIDE = re.compile(
     r"|recommendations|widget|toolbar|pagination|pager|copyright|legal|alert|toast|search|tags|skip)(?:$|[-_\s])",
     re.I,
 )
+_BOXES = frozenset("div section article main header nav aside ul ol table form body".split())
+MOST_BOXES = 12
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
@@ -68,14 +70,20 @@ def skeleton(nodes: list[Node]) -> Slot:
         if kid.tag in ("br", "hr", "img", "wbr") or kid.tag in ("script", "style", "noscript", "meta", "link"):
             continue
         if run and _label(run[-1]) != _label(kid):
-            slots.append(skeleton(run))
+            slots += _slots(run)
             run = []
         run.append(kid)
-    if run:
-        slots.append(skeleton(run))
+    slots += _slots(run)
     return Slot(label, digest, slots, nodes)
 
 
+def _slots(run: list[Node]) -> list[Slot]:
+    """Like siblings are one slot, but for a few boxes, each of which may be a part of the layout."""
+    if run and run[0].tag in _BOXES and len(run) <= MOST_BOXES:
+        return [skeleton([n]) for n in run]
+    return [skeleton(run)] if run else []
+
+
 def packed(slot: Slot) -> tuple:
     return (slot.label, slot.digest, tuple(packed(s) for s in slot.slots))
 
@@ -99,7 +107,10 @@ def _alike(a: str, b: str) -> bool:
 
 
 def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: most pairs of like slots that keep order and ancestry, and these pairs."""
+    """Simple tree matching: most pairs of like slots that keep order and ancestry, and these pairs.
+
+    Among matchings of one size, that with more slots of equal text is taken.
+    """
     if not _alike(a.label, b.label):
         return 0, []
     pairs, score = [(a, b)], 1
@@ -116,7 +127,8 @@ def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
         for j, t in enumerate(y, 1):
             top = max(best[i - 1][j], best[i][j - 1])
             if _alike(s.label, t.label):
-                tried[i, j] = align(s, t)
+                more, found = align(s, t)
+                tried[i, j] = more + 1e-4 * (s.digest == t.digest), found
                 top = max(top, best[i - 1][j - 1] + tried[i, j][0])
             best[i][j] = top
     i, j = len(x), len(y)
@@ -128,7 +140,7 @@ def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
             i -= 1
         else:
             j -= 1
-    return score + best[len(x)][len(y)], pairs
+    return len(pairs), pairs
 
 
 def _aside(node: Node) -> bool:
