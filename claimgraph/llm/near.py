@@ -20,8 +20,12 @@ from claimgraph.llm.words import chunks, mix, per_row, words_of
 
 COORDINATES = 32
 MATCHES = 14
+PARITY_BITS = 1024
 SHINGLE_WORDS = 2
 SIMILARITY = 80  # hundredths of intersection over union
+_DESCRIBED = (
+    "doc_id long, n_shingles long, high long, low long, signature array<int>, parity array<bigint>"
+)
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -63,6 +67,33 @@ def signatures(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """1024 bits per set (16 longs): each shingle flips one, so two sets differ in at least as many shingles
+    as their bits differ in places. That bound rejects most candidates without a look at the sets."""
+    n = len(first) - 1
+    out = np.empty((n, PARITY_BITS // 64), dtype=np.int64)
+    cell = (sets >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    for a in range(0, n, 2048):
+        b = min(n, a + 2048)
+        row = np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
+        odd = np.bincount(row * PARITY_BITS + cell[first[a] : first[b]], minlength=(b - a) * PARITY_BITS) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, -1), axis=1).view(np.int64)
+    return out
+
+
+def _near_enough(similarity: int):
+    """Whether the parities and sizes of ``a`` and ``b`` allow the similarity; exact, it rejects no link."""
+    differing = sum(
+        (F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)),
+        F.lit(0),
+    )
+    total = F.col("n_shingles_a") + F.col("n_shingles_b")
+    return (
+        (F.lit(100) * F.least("n_shingles_a", "n_shingles_b") >= F.lit(similarity) * F.greatest("n_shingles_a", "n_shingles_b"))
+        & (differing * (100 + similarity) <= total * (100 - similarity))
+    )
+
+
 def _describe(size: int):
     def batches(stream):
         for batch in stream:
@@ -80,8 +111,11 @@ def _describe(size: int):
                         pa.FixedSizeListArray.from_arrays(
                             pa.array(signatures(sets, first).ravel().view(np.int32)), COORDINATES
                         ).cast(pa.list_(pa.int32())),
+                        pa.FixedSizeListArray.from_arrays(
+                            pa.array(parities(sets, first).ravel()), PARITY_BITS // 64
+                        ).cast(pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "high", "low", "signature"],
+                    ["doc_id", "n_shingles", "high", "low", "signature", "parity"],
                 )
 
     return batches
@@ -174,14 +208,14 @@ def near_duplicates(
     texts = docs.select("doc_id", "text")
     described = scratch.write(
         texts.mapInArrow(
-            _describe(size), "doc_id long, n_shingles long, high long, low long, signature array<int>"
+            _describe(size), _DESCRIBED
         ),
         "signatures",
     )
     named = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["high", "low", "n_shingles"]
     classes = scratch.write(
-        named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
+        named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("parity").alias("parity")),
         "classes",
     )
     # Sets whose sizes the threshold still allows lie at most one band apart.
@@ -206,10 +240,12 @@ def near_duplicates(
     )
     def alike(pairs: DataFrame, name: str) -> DataFrame:
         """Candidate pairs with collisions enough, confirmed on the full sets of those they name."""
-        signs = classes.select("rep", "signature")
+        a = classes.select(F.col("rep").alias("u"), *(F.col(c).alias(f"{c}_a") for c in ("n_shingles", "parity", "signature")))
+        b = classes.select(F.col("rep").alias("v"), *(F.col(c).alias(f"{c}_b") for c in ("n_shingles", "parity", "signature")))
         counted = scratch.write(
-            pairs.join(signs.toDF("u", "sig_a"), "u").join(signs.toDF("v", "sig_b"), "v")
-            .mapInArrow(_collisions(matches), "u long, v long"),
+            pairs.join(a, "u").join(b, "v").where(_near_enough(similarity))
+            .select("u", "v", F.col("signature_a").alias("sig_a"), F.col("signature_b").alias("sig_b"))
+            .mapInArrow(_collisions(matches), "u long, v long").distinct(),
             f"{name}-counted",
         )
         wanted = counted.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
@@ -229,7 +265,7 @@ def near_duplicates(
 
     # An id that has several texts ties their classes together.
     members = scratch.write(
-        described.drop("signature").join(classes.drop("signature"), key, "left")
+        described.drop("signature", "parity").join(classes.drop("signature", "parity"), key, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")),
         "members",
     )
@@ -255,18 +291,17 @@ def near_duplicates(
     )
     opened = scratch.write(
         placed.join(open_lists, in_list)
-        .select(*in_list, "own", "rep", "n_shingles", "component", (F.col("component") != F.col("main")).alias("out")),
+        .select(*in_list, "own", "rep", "n_shingles", "component", (F.col("component") != F.col("main")).alias("out"))
+        .join(classes.select("rep", "parity"), "rep"),
         "open-lists",
     )
-    a = opened.where("out").select(*in_list, *(F.col(c).alias(f"{c}_a") for c in ("own", "rep", "n_shingles", "component")))
-    b = opened.select(*in_list, *(F.col(c).alias(f"{c}_b") for c in ("own", "rep", "n_shingles", "component", "out")))
+    sides = ("own", "rep", "n_shingles", "component", "out", "parity")
+    a = opened.where("out").select(*in_list, *(F.col(c).alias(f"{c}_a") for c in sides))
+    b = opened.select(*in_list, *(F.col(c).alias(f"{c}_b") for c in sides))
+    apart = F.expr("component_a <> component_b AND (NOT out_b OR rep_a < rep_b) AND (own_a OR own_b)")
+    # All tests are part of the join: only pairs that the bound allows leave it.
     crossing = (
-        a.join(b, in_list)
-        .where("component_a <> component_b AND (NOT out_b OR rep_a < rep_b) AND (own_a OR own_b)")
-        .where(
-            F.lit(100) * F.least("n_shingles_a", "n_shingles_b")
-            >= F.lit(similarity) * F.greatest("n_shingles_a", "n_shingles_b")
-        )
+        a.join(b, [*(a[c] == b[c] for c in in_list), apart, _near_enough(similarity)])
         .select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v"))
         .distinct()
     )
