@@ -79,10 +79,15 @@ def _payload() -> Column:
     )
 
 
-def accepted_events(judged: DataFrame, first_event_id: int = 0) -> DataFrame:
+def event_id(run_id: str) -> Column:
+    """Ids name their writer, so those of two runs, or of an import, never meet."""
+    return F.concat_ws("-", F.lit("action"), F.lit(run_id), "seq")
+
+
+def accepted_events(judged: DataFrame, run_id: str = "run") -> DataFrame:
     """Events of accepted actions; a routed dispute leaves none."""
     return judged.where(F.col("refusal").isNull() & ~F.col("routed")).select(
-        (F.col("seq") + F.lit(first_event_id)).alias("id"),
+        event_id(run_id).alias("id"),
         "claim_id",
         F.col("kind").alias("event_type"),
         "occurred_at",
@@ -95,24 +100,26 @@ def refusals(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("refusal").isNotNull()).select("seq", "kind", "claim_id", "refusal")
 
 
-def _of_kind(judged: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+def _of_kind(judged: DataFrame, kind: str, run_id: str) -> tuple[DataFrame, DataFrame]:
     rows = judged.where(F.col("kind") == kind)
-    return accepted_events(rows), refusals(rows)
+    return accepted_events(rows, run_id), refusals(rows)
 
 
-def dispute(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _of_kind(judged, "dispute")
+def dispute(judged: DataFrame, run_id: str = "run") -> tuple[DataFrame, DataFrame]:
+    return _of_kind(judged, "dispute", run_id)
 
 
-def undispute(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _of_kind(judged, "undispute")
+def undispute(judged: DataFrame, run_id: str = "run") -> tuple[DataFrame, DataFrame]:
+    return _of_kind(judged, "undispute", run_id)
 
 
-def adjust_confidence(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _of_kind(judged, "adjust_confidence")
+def adjust_confidence(judged: DataFrame, run_id: str = "run") -> tuple[DataFrame, DataFrame]:
+    return _of_kind(judged, "adjust_confidence", run_id)
 
 
-def supersede(judged: DataFrame, replacements: DataFrame) -> tuple[DataFrame, DataFrame]:
+def supersede(
+    judged: DataFrame, replacements: DataFrame, run_id: str = "run"
+) -> tuple[DataFrame, DataFrame]:
     """Supersede events that name the claim taking over.
 
     ``replacements``: ``seq, new_claim_id`` of the imported replacement claims. An
@@ -130,7 +137,7 @@ def supersede(judged: DataFrame, replacements: DataFrame) -> tuple[DataFrame, Da
         )
     )
     events = rows.where(F.col("refusal").isNull()).select(
-        F.col("seq").alias("id"),
+        event_id(run_id).alias("id"),
         "claim_id",
         F.lit("supersede").alias("event_type"),
         "occurred_at",

@@ -94,7 +94,8 @@ def cap_edges(network: DataFrame, cap: int = EDGE_CAP) -> DataFrame:
     The rank filter is applied before the shuffle too, so a hub ships at most
     ``cap + 1`` rows per input partition.
     """
-    cap = max(1, min(cap, EDGE_CAP))
+    if cap < 1:
+        raise ValueError("cap is below 1")
     ranked = Window.partitionBy("entity_id").orderBy(
         F.col("confidence_point").desc_nulls_last(), F.col("claim_id")
     )

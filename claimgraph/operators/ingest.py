@@ -38,7 +38,13 @@ REPORT = ("received", "inserted", "duplicates", "superseded", "rejected")
 
 
 def line_id(batch_no: int, line: Column) -> Column:
-    return F.shiftleft(F.lit(batch_no).cast("long"), 40) + line.cast("long")
+    """An id of a line of a batch. Batches hold fewer than 2**40 lines and there are fewer than 2**23 batches."""
+    if not 0 <= batch_no < 1 << 23:
+        raise ValueError("batch_no is outside [0, 2**23)")
+    inside = (line >= 0) & (line < F.lit(1 << 40))
+    return F.when(
+        inside, F.shiftleft(F.lit(batch_no).cast("long"), 40) + line.cast("long")
+    ).otherwise(F.raise_error(F.lit("line_no is outside [0, 2**40); number the lines densely")).cast("long"))
 
 
 def accept_in_order(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
@@ -312,9 +318,9 @@ def support_links(claims: DataFrame, outcomes: DataFrame, batch_no: int) -> Data
 
 
 def assert_events(claims: DataFrame) -> DataFrame:
-    """One assert event per new claim (``claims``: store rows); its id is the claim's."""
+    """One assert event per new claim (``claims``: store rows). Ids name their writer, here the import."""
     return claims.select(
-        F.col("claim_id").alias("id"),
+        F.concat_ws("-", F.lit("assert"), "claim_id").alias("id"),
         "claim_id",
         F.lit("assert").alias("event_type"),
         F.col("recorded_at").alias("occurred_at"),

@@ -140,10 +140,11 @@ def rebuild_name_search(claims: DataFrame) -> DataFrame:
 def touched_entities(changes: DataFrame, claims: DataFrame) -> DataFrame:
     """Entities a change batch concerns.
 
-    ``changes``: ``aggregate`` (``claim`` or ``entity``) and ``aggregate_id``.
+    ``changes``: ``aggregate`` (``claim`` or ``entity``) and ``aggregate_id``, which may be text for both.
     """
+    kinds = {k: claims.schema[k].dataType for k in ("claim_id", "subject_entity_id")}
     changed_claims = changes.where(F.col("aggregate") == "claim").select(
-        F.col("aggregate_id").alias("claim_id")
+        F.col("aggregate_id").cast(kinds["claim_id"]).alias("claim_id")
     )
     ends = (
         claims.select("claim_id", "subject_entity_id", "object_entity_id")
@@ -155,7 +156,7 @@ def touched_entities(changes: DataFrame, claims: DataFrame) -> DataFrame:
         )
     )
     changed = changes.where(F.col("aggregate") == "entity").select(
-        F.col("aggregate_id").alias("entity_id")
+        F.col("aggregate_id").cast(kinds["subject_entity_id"]).alias("entity_id")
     )
     return ends.unionByName(changed).distinct()
 

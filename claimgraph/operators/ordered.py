@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.session import materialise
+
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
@@ -71,3 +73,23 @@ def carry_before(
 def sequence_bucket(order: str, width: int = 100_000) -> Column:
     """Bucket of a unique sequence number: at most ``width`` rows each."""
     return F.floor(F.col(order) / F.lit(width)).cast("long")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``line_no`` 1, 2, ... in the order of the given columns, which must be unique.
+
+    Rows are range-partitioned and counted per range, so no task sorts more than its range. The result is
+    written to the shared folder, which keeps the numbers whatever becomes of the executors.
+    """
+    ranged = materialise(
+        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    return materialise(
+        ranged.join(F.broadcast(starts), "_range")  # one row per shuffle partition
+        .withColumn("line_no", F.col("_start") + F.row_number().over(within)).drop("_range", "_start"),
+        "numbered",
+    )

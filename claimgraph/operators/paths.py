@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.operators.graph import active_ties, adjacency
-from claimgraph.schema import PATH_COUNT_LIMIT, PATH_DEPTH_LIMIT
 from claimgraph.session import materialise
 
 PAIR = ["source", "target"]
@@ -18,7 +17,7 @@ def _near_target(targets: DataFrame, edges: DataFrame, hops: int) -> list[DataFr
     near = [targets.withColumn("node", F.col("target"))]
     for _ in range(hops):
         step = near[-1].join(links, "node").select("target", F.col("prior").alias("node"))
-        near.append(step.unionByName(near[-1]).distinct())
+        near.append(materialise(step.unionByName(near[-1]).distinct(), "near"))
     return near
 
 
@@ -39,8 +38,8 @@ def find_paths(
     hops, weakest link, claim ids. An entity too far from the target to still reach
     it is left out, which changes no answer.
     """
-    max_depth = max(1, min(max_depth, PATH_DEPTH_LIMIT))
-    max_paths = max(1, min(max_paths, PATH_COUNT_LIMIT))
+    if max_depth < 1 or max_paths < 1:
+        raise ValueError("max_depth and max_paths are at least 1")
     pairs = pairs.select(*PAIR).distinct()
     edges = adjacency(active_ties(claims, threshold, start, end)).select(
         F.col("entity_id").alias("node"),
@@ -48,14 +47,16 @@ def find_paths(
         "claim_id",
         "confidence_point",
     )
+    # Read at every level and by the near sets, so derived once, and laid out by node.
+    edges = materialise(edges.repartition("node"), "edges")
     near = _near_target(pairs.select("target").distinct(), edges, min(2, max_depth - 1))
 
     frontier = pairs.select(
         *PAIR,
         F.col("source").alias("node"),
         F.lit(1.0).alias("weakest"),
-        F.array().cast("array<bigint>").alias("claim_ids"),
-        F.array().cast("array<bigint>").alias("entity_ids"),
+        F.array().cast(f"array<{dict(edges.dtypes)['claim_id']}>").alias("claim_ids"),
+        F.array().cast(f"array<{dict(edges.dtypes)['next']}>").alias("entity_ids"),
         F.array().cast("array<double>").alias("confidences"),
     )
     visited = frontier.select(*PAIR, "node")
@@ -132,7 +133,7 @@ def path_steps(paths: DataFrame, summary: DataFrame) -> DataFrame:
         "path_rank",
         F.lit(0).alias("position"),
         F.col("source").alias("entity_id"),
-        F.lit(None).cast("bigint").alias("claim_id"),
+        F.lit(None).cast(steps.schema["claim_id"].dataType).alias("claim_id"),
         F.lit(None).cast("double").alias("confidence_point"),
     )
     names = summary.select("entity_id", "display_name")

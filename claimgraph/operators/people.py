@@ -354,12 +354,12 @@ def relationship_claims(
 
 
 def bad_scores(rels: DataFrame) -> DataFrame:
-    """Relationship rows set aside because their score is not an integer."""
+    """Relationship rows that :func:`relationship_claims` sets aside, their score being no integer."""
     return rels.where(native_confidence(F.col("max_certainty"), "")["point"].isNull())
 
 
 def anomaly_counters(people: DataFrame, rels: DataFrame) -> DataFrame:
-    """``counter, n`` for the five anomalies that are counted, never repaired."""
+    """``counter, n`` for the five anomalies that are counted, never repaired, and rows set aside for their score."""
     kept = drop_dangling(rels, people)
 
     def bad(name: str) -> Column:
@@ -373,6 +373,7 @@ def anomaly_counters(people: DataFrame, rels: DataFrame) -> DataFrame:
         F.count_if(inverted()).alias("valid_time_inverted_dropped_bounds"),
         (bad("start_year") + bad("end_year")).alias("bad_year_value"),
         F.count("*").alias("_kept"),
+        F.count_if(native_confidence(F.col("max_certainty"), "")["point"].isNull()).alias("bad_score_set_aside"),
     )
     repeats = duplicate_pairs(kept).agg(
         F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicate_pair_kept")
@@ -384,6 +385,7 @@ def anomaly_counters(people: DataFrame, rels: DataFrame) -> DataFrame:
         "valid_time_inverted_dropped_bounds",
         "bad_year_value",
         "duplicate_pair_kept",
+        "bad_score_set_aside",
     ]
     parts = [of_people, of_rels, repeats, listed]
     one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -267,14 +267,41 @@ def same_profile_links(member: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def er_quality(predicted: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
-    """Precision and recall of ``a, b, p`` against ``a, b, is_match`` at a threshold.
+def entity_links(
+    scored: DataFrame, member: DataFrame, low: float = 0.5, high: float = 0.95
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`split_candidates` for all entities: members of one profile are linked to its lowest entity.
 
-    Only labelled pairs count; a labelled match that was never proposed is a miss.
+    They agree in all that was compared, so their links bear the score of full agreement.
     """
-    said = predicted.select("a", "b", (F.col("p") >= threshold).alias("said"))
-    both = gold.join(said, ["a", "b"], "left").select(
-        F.coalesce("said", F.lit(False)).alias("said"), "is_match"
+    same_as, queue = split_candidates(scored, low, high)
+    inside = score_pairs(same_profile_links(member).withColumns(
+        {"similarity": F.lit(1.0), "born_gap": F.lit(0), "died_gap": F.lit(None).cast("int")}
+    ))
+    of_one = split_candidates(inside, low, low)[0]
+    return same_as.unionByName(of_one).dropDuplicates(["subject_entity_id", "object_entity_id"]), queue
+
+
+def er_quality(
+    predicted: DataFrame, gold: DataFrame, threshold: float, member: DataFrame
+) -> DataFrame:
+    """Precision and recall of profile pairs ``a, b, p`` against entity pairs ``a, b, is_match``.
+
+    ``member`` says which profiles an entity stands in. A pair is predicted when its entities share a profile or
+    stand in two that score ``threshold``. Only labelled pairs count; a labelled match never proposed is a miss.
+    """
+    of = member.select("entity_id", "profile_id").distinct()
+    sides = (
+        gold.join(of.toDF("a", "_pa"), "a", "left").join(of.toDF("b", "_pb"), "b", "left")
+        .withColumns({"_low": F.least("_pa", "_pb"), "_high": F.greatest("_pa", "_pb")})
+    )
+    sure = predicted.where(F.col("p") >= threshold).select(
+        F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high"), F.lit(True).alias("_sure")
+    )
+    hit = (F.col("_pa") == F.col("_pb")) | F.col("_sure")
+    both = (
+        sides.join(sure, ["_low", "_high"], "left").groupBy("a", "b", "is_match")
+        .agg(F.coalesce(F.bool_or(F.coalesce(hit, F.lit(False))), F.lit(False)).alias("said"))
     )
     tp = F.count_if(F.col("said") & F.col("is_match"))
     return both.agg(

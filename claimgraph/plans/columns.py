@@ -279,14 +279,14 @@ def _(c: Corpus) -> DataFrame:
     "h04_event_feed",
     oracle(f"""SELECT id, claim_id, event_type, {MICROS} AS at FROM log
  WHERE occurred_at >= TIMESTAMP '1995-01-01' AND (occurred_at < TIMESTAMP '2024-01-03'
-   OR (occurred_at = TIMESTAMP '2024-01-03' AND id < 1000))
+   OR (occurred_at = TIMESTAMP '2024-01-03' AND id < 'u-1000'))
  ORDER BY occurred_at DESC, id DESC LIMIT 200"""),
 )
 def _(c: Corpus) -> DataFrame:
     from datetime import datetime
 
     page = history.event_feed(
-        c.events, since=datetime(1995, 1, 1), cursor=(datetime(2024, 1, 3), 1000), limit=200
+        c.events, since=datetime(1995, 1, 1), cursor=(datetime(2024, 1, 3), "u-1000"), limit=200
     )
     return page.select("id", "claim_id", "event_type", micros("occurred_at").alias("at"))
 

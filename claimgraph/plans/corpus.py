@@ -10,14 +10,36 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.temporal import inverted
 from claimgraph.operators import history, models
 from claimgraph.schema import BOUNDS, relation_types
 
-SUPPLIER_BASE, PART_BASE = 1_000_000_000, 2_000_000_000
+
+def customer_id(key: Column) -> Column:
+    return key
+
+
+def supplier_id(key: Column) -> Column:
+    """Negative and odd, so that no number of customers or parts reaches it."""
+    return -2 * key - 1
+
+
+def part_id(key: Column) -> Column:
+    """Negative and even."""
+    return -2 * key - 2
+
+
+def attribute_id(subject: Column, slot: Column) -> Column:
+    return F.concat_ws("-", F.lit("a"), subject, slot)
+
+
+def entity_record_id(entity: Column) -> Column:
+    return F.concat_ws("-", F.lit("e"), entity)
+
+
 LOADED_AT = "2023-01-01 00:00:00"
 CODES = ("IN", "CA", "AF/IN", "BF/IN", "AF", "BF")
 
@@ -39,11 +61,6 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table over all cores when its file is too small to be split by itself."""
-        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
     # Dimensions ------------------------------------------------------------
     @cached_property
     def relation_types(self) -> DataFrame:
@@ -74,39 +91,39 @@ class Corpus:
 
     @cached_property
     def entities(self) -> DataFrame:
-        def part(table: str, key: str, base: int, kind: str) -> DataFrame:
+        def part(table: str, key: str, ident, kind: str) -> DataFrame:
             return self.table(table).select(
-                (F.col(key) + base).alias("entity_id"), F.lit(kind).alias("entity_type")
+                ident(F.col(key)).alias("entity_id"), F.lit(kind).alias("entity_type")
             )
 
         return (
-            part("customer", "c_custkey", 0, "person")
-            .unionByName(part("supplier", "s_suppkey", SUPPLIER_BASE, "organization"))
-            .unionByName(part("part", "p_partkey", PART_BASE, "document"))
+            part("customer", "c_custkey", customer_id, "person")
+            .unionByName(part("supplier", "s_suppkey", supplier_id, "organization"))
+            .unionByName(part("part", "p_partkey", part_id, "document"))
         )
 
     @cached_property
     def anchors(self) -> DataFrame:
-        def part(table: str, key: str, base: int, authority: str, prefix: str = "") -> DataFrame:
+        def part(table: str, key: str, ident, authority: str, prefix: str = "") -> DataFrame:
             text = F.concat(F.lit(prefix), F.col(key).cast("string"))
             return self.table(table).select(
                 F.lit(authority).alias("authority"),
                 text.alias("external_id"),
-                (F.col(key) + base).alias("entity_id"),
+                ident(F.col(key)).alias("entity_id"),
             )
 
         return (
-            part("customer", "c_custkey", 0, "registry")
-            .unionByName(part("customer", "c_custkey", 0, "household", "h"))
-            .unionByName(part("supplier", "s_suppkey", SUPPLIER_BASE, "ledger"))
-            .unionByName(part("part", "p_partkey", PART_BASE, "catalogue"))
+            part("customer", "c_custkey", customer_id, "registry")
+            .unionByName(part("customer", "c_custkey", customer_id, "household", "h"))
+            .unionByName(part("supplier", "s_suppkey", supplier_id, "ledger"))
+            .unionByName(part("part", "p_partkey", part_id, "catalogue"))
         )
 
     # Ties from order lines --------------------------------------------------
     @cached_property
     def ties(self) -> DataFrame:
         """Current tie claims, with the source and record columns they rest on."""
-        line, order = self.spread("lineitem"), self.table("orders")
+        line, order = self.table("lineitem"), self.table("orders")
         place = (
             self.table("supplier")
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -115,9 +132,13 @@ class Corpus:
         rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(
             place, F.col("l_suppkey") == F.col("s_suppkey")
         )
-        claim_id = (
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
-        ) * 10000 + F.col("l_suppkey")
+        # Lines that agree in the named keys are told apart by their other columns, equal ones by a count.
+        keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        rest = (
+            "l_discount", "l_extendedprice", "l_linestatus", "l_quantity", "l_returnflag", "l_shipdate", "l_tax"
+        )
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)))
+        claim_id = F.concat_ws("-", F.lit("t"), *keys, F.col("_n"))
         returned, final = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
         placed, shipped = _day("o_orderdate"), _day("l_shipdate")
         number = F.col("l_linenumber")
@@ -128,7 +149,7 @@ class Corpus:
         raw_bounds = rows.select(
             claim_id.alias("claim_id"),
             F.col("o_custkey").alias("subject_entity_id"),
-            (F.col("l_suppkey") + SUPPLIER_BASE).alias("object_entity_id"),
+            supplier_id(F.col("l_suppkey")).alias("object_entity_id"),
             F.when(returned, "corresponded-with").otherwise("associated-with").alias("predicate"),
             F.when(~returned, F.abs(F.round(F.col("l_discount") * 10, 1))).alias("confidence_point"),
             placed.alias(BOUNDS[0]),
@@ -225,25 +246,25 @@ class Corpus:
             key.alias("subject_entity_id"), nation.alias("_n"), F.explode(F.array_compact(people)).alias("_r")
         )
 
-        def named(table: str, ident: str, base: int, text: Column, k: int, kind: str) -> DataFrame:
+        def named(table: str, key: str, ident, text: Column, k: int, kind: str) -> DataFrame:
             built = row(k, "has-name", always, text=literal("string", text),
                         detail=F.lit(f'{{"name_kind":"{kind}"}}'))
             return self.table(table).select(
-                (F.col(ident) + base).alias("subject_entity_id"),
-                (F.col(ident) % 25).alias("_n"),
+                ident(F.col(key)).alias("subject_entity_id"),
+                (F.col(key) % 25).alias("_n"),
                 built.alias("_r"),
             )
 
         both = F.concat(F.lower("p_type"), F.lit(" "), F.lower("p_brand"))
         rows = (
             customers
-            .unionByName(named("supplier", "s_suppkey", SUPPLIER_BASE, F.col("s_name"), 0, "primary"))
-            .unionByName(named("part", "p_partkey", PART_BASE, F.col("p_name"), 0, "primary"))
-            .unionByName(named("part", "p_partkey", PART_BASE, both, 1, "alias"))
+            .unionByName(named("supplier", "s_suppkey", supplier_id, F.col("s_name"), 0, "primary"))
+            .unionByName(named("part", "p_partkey", part_id, F.col("p_name"), 0, "primary"))
+            .unionByName(named("part", "p_partkey", part_id, both, 1, "alias"))
         )
         point = F.col("_r.confidence_point")
         return rows.select(
-            (F.col("subject_entity_id") * 10 + F.col("_r.k")).alias("claim_id"),
+            attribute_id(F.col("subject_entity_id"), F.col("_r.k")).alias("claim_id"),
             "subject_entity_id",
             "_r.object_entity_id",
             "_r.predicate",
@@ -268,8 +289,8 @@ class Corpus:
         kind = F.col("event_type")
         point = F.round(F.col("value") / 500, 2)
         return self.table("events").select(
-            (F.col("event_id") * 4 + 3).alias("id"),
-            (F.col("user_id") * 10 + F.col("event_id") % 10).alias("claim_id"),
+            F.concat_ws("-", F.lit("u"), "event_id").alias("id"),
+            attribute_id(F.col("user_id"), F.col("event_id") % 10).alias("claim_id"),
             F.when(kind == "signup", "assert")
             .when(kind == "error", "dispute")
             .when(kind == "view", "undispute")
@@ -284,7 +305,7 @@ class Corpus:
     @staticmethod
     def _asserts(claims: DataFrame) -> DataFrame:
         return claims.select(
-            (F.col("claim_id") * 4).alias("id"),
+            F.concat_ws("/", "claim_id", F.lit("0")).alias("id"),
             "claim_id",
             F.lit("assert").alias("event_type"),
             F.col("recorded_at").alias("occurred_at"),
@@ -306,7 +327,7 @@ class Corpus:
             return F.when(
                 when,
                 F.struct(
-                    (F.col("claim_id") * 4 + step).alias("id"),
+                    F.concat_ws("/", "claim_id", F.lit(str(step))).alias("id"),
                     F.lit(kind).alias("event_type"),
                     _plus_days(F.to_date("recorded_at"), days).alias("occurred_at"),
                 ),
@@ -317,7 +338,7 @@ class Corpus:
                 event(0, "assert", 0, F.lit(True)),
                 event(1, "dispute", 10, (q >= 41) & (q < 50)),
                 event(2, "undispute", 20, (q >= 41) & (q < 46)),
-                event(2, "supersede", 30, q >= 50),
+                event(3, "supersede", 30, q >= 50),
             )
         )
         return self.ties.select(
@@ -362,8 +383,8 @@ class Corpus:
             F.concat(F.lit('{"line":"'), F.col("external_id"), F.lit('"}')).alias("raw"),
         )
         people = self.entities.select(
-            (F.col("entity_id") * 10 + 8).alias("source_record_id"),
-            (F.col("entity_id") % 5).alias("source_id"),
+            entity_record_id(F.col("entity_id")).alias("source_record_id"),
+            (F.abs("entity_id") % 5).alias("source_id"),
             F.col("entity_type").alias("record_kind"),
             F.col("entity_id").cast("string").alias("external_id"),
             F.md5(F.col("entity_id").cast("string").cast("binary")).alias("content_hash"),
@@ -375,9 +396,9 @@ class Corpus:
     def support(self) -> DataFrame:
         own = self.ties.select("claim_id", F.col("claim_id").alias("source_record_id"))
         second = self.ties.where(F.col("second_support")).select(
-            "claim_id", (F.col("subject_entity_id") * 10 + 8).alias("source_record_id")
+            "claim_id", entity_record_id(F.col("subject_entity_id")).alias("source_record_id")
         )
         attributes = self.attributes.select(
-            "claim_id", (F.col("subject_entity_id") * 10 + 8).alias("source_record_id")
+            "claim_id", entity_record_id(F.col("subject_entity_id")).alias("source_record_id")
         )
         return own.unionByName(second).unionByName(attributes)

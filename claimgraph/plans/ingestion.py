@@ -15,6 +15,7 @@ from claimgraph.functions.text import content_hash, normalize_name
 from claimgraph.operators import actions as acts
 from claimgraph.operators import ingest, letters, people, validate
 from claimgraph.operators.graph import blocked_sources
+from claimgraph.operators.ordered import numbered
 from claimgraph.plans.corpus import Corpus
 from claimgraph.plans.oracle import oracle
 from claimgraph.plans.registry import query
@@ -57,7 +58,7 @@ def tie_rows(c: Corpus) -> DataFrame:
 
     Parts outnumber customers, so some rows point at nobody.
     """
-    line, number = c.spread("lineitem"), F.col("l_linenumber")
+    line, number = c.table("lineitem"), F.col("l_linenumber")
     rows = line.join(c.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     returned = F.col("l_returnflag") == "R"
     return rows.select(
@@ -283,7 +284,8 @@ def _(c: Corpus) -> DataFrame:
  UNION ALL SELECT 'relationship_dangling_endpoint_skipped', count(*) FROM rows2 WHERE NOT known
  UNION ALL SELECT 'valid_time_inverted_dropped_bounds', count(*) FROM rows2 WHERE known AND inv
  UNION ALL SELECT 'bad_year_value', (SELECT count(*) FROM people0 WHERE birth_year='circ') + (SELECT count(*) FROM rows2 WHERE known AND bad_end)
- UNION ALL SELECT 'duplicate_pair_kept', (SELECT count(*) - count(DISTINCT (least(p1,p2), greatest(p1,p2))) FROM rows2 WHERE known)""",
+ UNION ALL SELECT 'duplicate_pair_kept', (SELECT count(*) - count(DISTINCT (least(p1,p2), greatest(p1,p2))) FROM rows2 WHERE known)
+ UNION ALL SELECT 'bad_score_set_aside', count(*) FROM rows2 WHERE known AND score IS NULL""",
         PEOPLE,
     ),
 )
@@ -475,14 +477,6 @@ def _(c: Corpus) -> DataFrame:
     return delimited.read_delimited(c.spark, path, "person", PEOPLE_COLUMNS)
 
 
-@query("s02_file_hashes")
-def _(c: Corpus) -> DataFrame:
-    """SHA-256 of the input files, streamed; SQL cannot read file bytes by table name."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-    paths = [f"{c.sf_dir}/{n}.parquet" for n in names]
-    return delimited.file_hashes(c.spark, paths)
-
-
 @query(
     "s03_read_letters",
     oracle(
@@ -578,12 +572,12 @@ def _(c: Corpus) -> DataFrame:
 
 @query(
     "s06_content_hash",
-    """SELECT doc_id, 'sha256:'||sha256('{"id":'||doc_id||',"lang":"'||lang||'","source":"'||source||'"}') AS record_hash,
+    """SELECT doc_id, 'sha256:'||sha256('{"id":'||doc_id||',"lang":'||to_json(lang)||',"n_chars":'||n_chars||',"source":'||to_json(source)||',"text":'||to_json(text)||'}') AS record_hash,
  sha256('{"id":'||doc_id||',"mark":"'||chr(92)||'u00e9'||chr(92)||'ud83d'||chr(92)||'ude00","source":"'||source||'"}')[1:16] AS letter_hash FROM documents""",
 )
 def _(c: Corpus) -> DataFrame:
-    """Hashes of one record per document, keys given out of order."""
-    record = F.to_json(F.struct("source", "lang", F.col("doc_id").alias("id")))
+    """Hashes of every column of every document, keys given out of order."""
+    record = F.to_json(F.struct("source", "text", "n_chars", "lang", F.col("doc_id").alias("id")))
     letter = F.to_json(F.struct("source", F.lit("é😀").alias("mark"), F.col("doc_id").alias("id")))
     return c.table("documents").select(
         "doc_id", content_hash(record).alias("record_hash"), content_hash(letter, "letter").alias("letter_hash")
@@ -599,7 +593,7 @@ def _(c: Corpus) -> DataFrame:
     """Both export formats, all licences taken as confirmed, read back."""
     confirmed = c.sources.withColumn("license_confirmed", F.lit(True))
     blocked = blocked_sources(confirmed, c.records, c.support)
-    layout = "claim_id bigint, subject bigint, predicate string, object bigint, confidence double"
+    layout = "claim_id string, subject bigint, predicate string, object bigint, confidence double"
     parts = []
     for name in ("csv", "ndjson"):
         path = fresh_path(c.spark, "export")
@@ -614,16 +608,24 @@ def _(c: Corpus) -> DataFrame:
     "s08_manifest",
     oracle(
         """SELECT 'run-1' AS run_id, 'orders' AS source_slug, (SELECT count(*) FROM people0 WHERE odnb_id IN ('','0')) AS odnb_zero_sentinel,
- (SELECT count(*) FROM rows2 WHERE NOT known) AS dangling""",
+ (SELECT count(*) FROM rows2 WHERE NOT known) AS dangling,
+ (SELECT count(*) FROM people0) AS people, (SELECT count(*) FROM customer) AS customers,
+ (SELECT CAST(sum(('0x'||substr(md5(CAST(c_custkey AS VARCHAR)||'|'||c_name), 1, 8))::BIGINT) AS VARCHAR) FROM customer) AS customer_digest""",
         PEOPLE,
     ),
 )
 def _(c: Corpus) -> DataFrame:
     """A run manifest written and read back."""
     path = fresh_path(c.spark, "manifests")
+    # Order-free: the sum of the rows' digests.
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "c_custkey", "c_name").cast("binary")), 1, 8), 16, 10)
+    customers = c.table("customer").agg(
+        F.count("*").alias("n"), F.sum(digest.cast("long")).cast("string").alias("digest")
+    ).first()
+    counts = {"people": people_rows(c).count(), "customers": customers["n"]}
     row = manifest.manifest_row(
         c.spark, run_id="run-1", adapter="people", adapter_version="1", source_slug="orders",
-        source_version="1", input_content_hashes={}, counts={},
+        source_version="1", input_content_hashes={"customer": customers["digest"]}, counts=counts,
         anomaly_counters=people.anomaly_counters(people_rows(c), tie_rows(c)),
     )
     manifest.write_manifest(row, path)
@@ -634,11 +636,14 @@ def _(c: Corpus) -> DataFrame:
     return manifest.read_manifests(c.spark, path).select(
         "run_id", "source_slug", counter("odnb_zero_sentinel").alias("odnb_zero_sentinel"),
         counter("relationship_dangling_endpoint_skipped").alias("dangling"),
+        F.get_json_object("manifest", "$.counts.people").cast("bigint").alias("people"),
+        F.get_json_object("manifest", "$.counts.customers").cast("bigint").alias("customers"),
+        F.get_json_object("manifest", "$.input_content_hashes.customer").alias("customer_digest"),
     )
 
 
 # Import --------------------------------------------------------------------------------
-def wire_lines(c: Corpus) -> DataFrame:
+def wire_rows(c: Corpus) -> DataFrame:
     """Order lines as interchange lines; the quantity decides the defect, if any.
 
     Lines of returned goods are sent a second time at the end of the batch.
@@ -649,7 +654,7 @@ def wire_lines(c: Corpus) -> DataFrame:
         return F.struct(F.lit(authority).alias("authority"), key.alias("id"))
 
     text = F.col("subject_entity_id").cast("string")
-    other = (F.col("object_entity_id") - 1_000_000_000).cast("string")
+    other = F.expr("(-object_entity_id - 1) div 2").cast("string")
     subject = ref("registry", F.when(q == 10, F.concat(F.lit("x"), text)).otherwise(text))
     entity = ref("ledger", F.when(q == 11, F.concat(F.lit("x"), other)).otherwise(other))
     literal = F.struct(
@@ -711,12 +716,14 @@ def wire_lines(c: Corpus) -> DataFrame:
     )
     line = F.when(q == 18, F.regexp_replace(line, '"subject":\\{', '"subject":{"more":1,')).otherwise(line)
     line = F.when(q == 8, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
-    rows = c.ties.select(F.col("claim_id").alias("line_no"), line.alias("line"), "predicate", "quantity")
-    again = rows.where(F.col("predicate") == "corresponded-with").withColumn(
-        "line_no", F.col("line_no") + F.lit(10**17)
-    )
+    rows = c.ties.select("claim_id", line.alias("line"), "predicate", F.lit(0).alias("turn"))
+    again = rows.where(F.col("predicate") == "corresponded-with").withColumn("turn", F.lit(1))
     # Lines arrive as files, so they are written once before anything reads them.
-    return materialise(rows.unionByName(again).select("line_no", "line"), "wire")
+    return numbered(rows.unionByName(again).select("turn", "claim_id", "line"), "turn", "claim_id").drop("turn")
+
+
+def wire_lines(c: Corpus) -> DataFrame:
+    return wire_rows(c).drop("claim_id")
 
 
 DEFECT = """CASE quantity WHEN 1 THEN 'schema_version is not 0.1.0' WHEN 2 THEN 'confidence is malformed' WHEN 3 THEN 'confidence is malformed'
@@ -725,14 +732,15 @@ DEFECT = """CASE quantity WHEN 1 THEN 'schema_version is not 0.1.0' WHEN 2 THEN
  WHEN 14 THEN 'method is unknown' WHEN 15 THEN 'asserted_by is blank' WHEN 16 THEN 'a required key is missing|confidence is malformed'
  WHEN 17 THEN 'support is empty or malformed' WHEN 18 THEN 'subject is not a reference' WHEN 19 THEN 'object literal is malformed' ELSE '' END"""
 WIRE = {
-    "wire": """SELECT *, claim_id AS line_no FROM ties UNION ALL SELECT *, claim_id+100000000000000000 FROM ties WHERE predicate='corresponded-with'""",
+    "wire": """SELECT *, row_number() OVER (ORDER BY turn, claim_id) AS line_no FROM (
+ SELECT *, 0 AS turn FROM ties UNION ALL SELECT *, 1 FROM ties WHERE predicate='corresponded-with')""",
     "judged": f"""SELECT *, {DEFECT} AS errors, CASE WHEN quantity=8 THEN 'invalid JSON'
  WHEN ({DEFECT})<>'' THEN 'schema: '||split_part({DEFECT},'|',1) WHEN quantity=9 THEN 'unknown predicate ''knows-of'''
  WHEN quantity=10 THEN 'unresolvable subject ref registry:x'||subject_entity_id
- WHEN quantity=11 THEN 'unresolvable object ref ledger:x'||(object_entity_id-1000000000) END AS reason FROM wire""",
+ WHEN quantity=11 THEN 'unresolvable object ref ledger:x'||((-object_entity_id-1)//2) END AS reason FROM wire""",
     "good": "SELECT * FROM judged WHERE reason IS NULL",
     "supports": """SELECT line_no, 0 AS position, 'source-'||source_id AS source, 'relationship' AS record_kind, external_id, content_hash, claim_id FROM good
- UNION ALL SELECT line_no, 1, 'books', 'supplier', CAST(object_entity_id-1000000000 AS VARCHAR), 'h'||asserted_by_agent_id||month(recorded_day), claim_id FROM good WHERE second_support""",
+ UNION ALL SELECT line_no, 1, 'books', 'supplier', CAST((-object_entity_id-1)//2 AS VARCHAR), 'h'||asserted_by_agent_id||month(recorded_day), claim_id FROM good WHERE second_support""",
     "firsts": """SELECT *, lag(content_hash) OVER (PARTITION BY source, record_kind, external_id ORDER BY line_no, position) AS prior FROM (
  SELECT *, row_number() OVER (PARTITION BY source, record_kind, external_id, content_hash ORDER BY line_no, position) AS rn FROM supports) WHERE rn=1""",
     "outcome": """SELECT s.*, CASE WHEN f.line_no IS NULL THEN 'DUPLICATE' WHEN f.prior IS NULL THEN 'INSERTED' ELSE 'SUPERSEDED' END AS outcome
@@ -933,7 +941,7 @@ def _(c: Corpus) -> DataFrame:
     return out["support"].join(named, "source_record_id").drop("source_record_id")
 
 
-@query("i13_assert_events", oracle("SELECT line_no AS id, line_no AS claim_id, 'assert' AS event_type, 1::BIGINT AS actor_agent_id FROM fresh", WIRE))
+@query("i13_assert_events", oracle("SELECT 'assert-'||line_no AS id, line_no AS claim_id, 'assert' AS event_type, 1::BIGINT AS actor_agent_id FROM fresh", WIRE))
 def _(c: Corpus) -> DataFrame:
     return imported(c)["events"].select("id", "claim_id", "event_type", "actor_agent_id")
 
@@ -986,21 +994,22 @@ def _(c: Corpus) -> DataFrame:
 )
 def _(c: Corpus) -> DataFrame:
     """Every line of the batch offered as the replacement of its own tie."""
-    lines = wire_lines(c)
+    rows = wire_rows(c)
+    lines = rows.drop("claim_id")
     new = ingest.import_claims(
         lines, store(c), batch_no=0, agent_id=1, run_id="run-2",
         recorded_at=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"), check_duplicates=False,
     )["claims"].select(F.col("claim_id").alias("seq"), F.col("claim_id").alias("new_claim_id"))
     none = F.lit(None)
-    actions = lines.select(
+    actions = rows.select(
         F.col("line_no").alias("seq"), F.lit("supersede").alias("kind"),
-        (F.col("line_no") % F.lit(10**17)).alias("claim_id"), none.cast("string").alias("ground"),
+        "claim_id", none.cast("string").alias("ground"),
         F.lit("newer reading").alias("reason"), none.cast("double").alias("point"), F.lit(1).alias("agent_id"),
         F.lit("2024-06-01 00:00:00").cast("timestamp_ntz").alias("occurred_at"), none.cast("string").alias("as_of"),
     )
     events, refused = acts.supersede(acts.judge(actions, c.ties.select("claim_id", "status")), new)
     accepted = events.select(
-        F.col("id").alias("seq"), "claim_id",
+        F.substring_index("id", "-", -1).cast("long").alias("seq"), "claim_id",
         F.get_json_object("payload", "$.supersededBy").cast("bigint").alias("new_claim_id"),
         none.cast("string").alias("refusal"),
     )

@@ -10,7 +10,7 @@ from claimgraph.operators import actions as acts
 from claimgraph.operators import models, search, stats
 from claimgraph.operators.graph import relationships
 from claimgraph.operators.ingest import tally_runs
-from claimgraph.plans.corpus import Corpus
+from claimgraph.plans.corpus import Corpus, attribute_id
 from claimgraph.plans.oracle import BAND, UNDATED, oracle
 from claimgraph.plans.registry import query
 from claimgraph.session import fresh_path
@@ -154,7 +154,7 @@ def changes(c: Corpus) -> DataFrame:
         F.lit("claim").alias("aggregate"), F.col("claim_id").alias("aggregate_id")
     )
     suppliers = c.entities.where(F.col("entity_type") == "organization").select(
-        F.lit("entity").alias("aggregate"), F.col("entity_id").alias("aggregate_id")
+        F.lit("entity").alias("aggregate"), F.col("entity_id").cast("string").alias("aggregate_id")
     )
     return disputed.unionByName(suppliers)
 
@@ -184,7 +184,7 @@ def _(c: Corpus) -> DataFrame:
     """The change feed drained as a stream; the summaries it published."""
     feed, target = fresh_path(c.spark, "feed"), fresh_path(c.spark, "published")
     changes(c).write.parquet(feed)
-    stream = projection.read_feed(c.spark, feed, "aggregate string, aggregate_id bigint")
+    stream = projection.read_feed(c.spark, feed, "aggregate string, aggregate_id string")
     run = projection.start_projection(
         stream, lambda: Corpus(c.spark, c.sf_dir).entities, lambda: Corpus(c.spark, c.sf_dir).claims,
         target, fresh_path(c.spark, "progress"),
@@ -228,7 +228,7 @@ def action_rows(c: Corpus) -> DataFrame:
         .when((kind == "click") & (number % 97 == 0), "supersede")
         .otherwise("adjust_confidence")
         .alias("kind"),
-        (F.col("user_id") * 10 + number % 10).alias("claim_id"),
+        attribute_id(F.col("user_id"), number % 10).alias("claim_id"),
         F.when(kind == "signup", F.lit("identity"))
         .when(kind == "error", F.element_at(grounds, (number % 5 + 1).cast("int")))
         .alias("ground"),
@@ -243,10 +243,10 @@ def action_rows(c: Corpus) -> DataFrame:
 ACTIONS = {
     "acts": """SELECT event_id AS seq, CASE WHEN event_type IN ('error','signup') THEN 'dispute' WHEN event_type='view' THEN 'undispute'
  WHEN event_type='click' AND event_id%97=0 THEN 'supersede' ELSE 'adjust_confidence' END AS kind,
- user_id*10+event_id%10 AS claim_id, CASE WHEN event_type='signup' THEN 'identity' WHEN event_type='error' THEN
+ 'a-'||user_id||'-'||(event_id%10) AS claim_id, CASE WHEN event_type='signup' THEN 'identity' WHEN event_type='error' THEN
  (['existence','dating','confidence','source-reading','rumour'])[event_id%5+1] END AS ground,
  CASE WHEN event_type<>'purchase' OR event_id%13<>0 THEN round(value/300,2) END AS point, event_id%29=0 AS past FROM events""",
-    "opening": """SELECT claim_id, CASE claim_id%10 WHEN 5 THEN 'superseded' WHEN 4 THEN 'disputed' ELSE 'asserted' END AS status FROM attributes""",
+    "opening": """SELECT claim_id, CASE right(claim_id,1) WHEN '5' THEN 'superseded' WHEN '4' THEN 'disputed' ELSE 'asserted' END AS status FROM attributes""",
     "live": "SELECT a.*, o.status FROM acts a LEFT JOIN opening o USING (claim_id) WHERE NOT past",
     "seen": """SELECT *, coalesce(bool_or(kind='supersede') OVER w, false) OR coalesce(status='superseded',false) AS gone,
  coalesce(last_value(CASE WHEN kind='undispute' OR (kind='dispute' AND ground NOT IN ('identity','rumour')) THEN kind END IGNORE NULLS) OVER w='dispute', status='disputed') AS flagged
@@ -261,10 +261,10 @@ ACTIONS = {
 
 
 def opening_status(c: Corpus) -> DataFrame:
-    slot = F.col("claim_id") % 10
+    slot = F.right("claim_id", F.lit(1))
     return c.attributes.select(
         "claim_id",
-        F.when(slot == 5, "superseded").when(slot == 4, "disputed").otherwise("asserted").alias("status"),
+        F.when(slot == "5", "superseded").when(slot == "4", "disputed").otherwise("asserted").alias("status"),
     )
 
 
@@ -277,7 +277,7 @@ def both_sides(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Events and refusals of one kind of action as one frame."""
     events, refused = sides
     accepted = events.select(
-        F.col("id").alias("seq"), "claim_id", F.col("event_type").alias("kind"),
+        F.substring_index("id", "-", -1).cast("long").alias("seq"), "claim_id", F.col("event_type").alias("kind"),
         F.lit(None).cast("string").alias("refusal"),
     )
     return accepted.unionByName(refused.select("seq", "claim_id", "kind", "refusal"))
@@ -299,14 +299,14 @@ def _(c: Corpus) -> DataFrame:
     "a02_route_identity",
     oracle(
         """SELECT entity_a, entity_b, score, features, state FROM (
- SELECT coalesce(q.a, n.a) AS entity_a, coalesce(q.b, n.b) AS entity_b, coalesce(q.score,0) AS score,
+ SELECT CAST(coalesce(q.a, n.a) AS VARCHAR) AS entity_a, CAST(coalesce(q.b, n.b) AS VARCHAR) AS entity_b, coalesce(q.score,0) AS score,
  coalesce(n.features, q.features) AS features, coalesce(q.state,'queued') AS state FROM
  (SELECT c_custkey AS a, c_custkey+1 AS b, CAST(0.5 AS DOUBLE) AS score, '{}' AS features, 'accepted' AS state FROM customer WHERE c_custkey%10 IN (0,1)) q
- FULL JOIN (SELECT a, b, arg_max('{"reason":"event '||seq||'","sourceClaim":'||claim_id||',"routedFrom":"dispute"}', seq) AS features FROM
+ FULL JOIN (SELECT a, b, arg_max('{"reason":"event '||seq||'","sourceClaim":"'||claim_id||'","routedFrom":"dispute"}', seq) AS features FROM
   (SELECT seq, claim_id, least(subject_entity_id,object_entity_id) AS a, greatest(subject_entity_id,object_entity_id) AS b
    FROM verdict JOIN attributes USING (claim_id) WHERE kind='dispute' AND ground='identity' AND refusal IS NULL AND object_entity_id IS NOT NULL)
   GROUP BY a,b) n ON n.a=q.a AND n.b=q.b)
- UNION ALL SELECT seq, claim_id, NULL, 'identity ground applies to relationship claims', 'refused'
+ UNION ALL SELECT CAST(seq AS VARCHAR), claim_id, NULL, 'identity ground applies to relationship claims', 'refused'
  FROM verdict JOIN attributes USING (claim_id) WHERE kind='dispute' AND ground='identity' AND refusal IS NULL AND object_entity_id IS NULL""",
         ACTIONS,
     ),
@@ -319,9 +319,10 @@ def _(c: Corpus) -> DataFrame:
         F.lit("{}").alias("features"), F.lit("accepted").alias("state"),
     )
     merged, refused = acts.route_identity(judged(c), c.attributes, queue)
-    return merged.unionByName(
+    text = {k: F.col(k).cast("string") for k in ("entity_a", "entity_b")}
+    return merged.withColumns(text).unionByName(
         refused.select(
-            F.col("seq").alias("entity_a"), F.col("claim_id").alias("entity_b"),
+            F.col("seq").cast("string").alias("entity_a"), F.col("claim_id").alias("entity_b"),
             F.lit(None).cast("double").alias("score"), F.col("refusal").alias("features"),
             F.lit("refused").alias("state"),
         )

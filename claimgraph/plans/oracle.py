@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 
 # Named parts in dependency order; a check query gets only the ones it mentions.
+# The columns that tell lines of one key apart, in the order of their names.
+LINE_REST = "l_discount, l_extendedprice, l_linestatus, l_quantity, l_returnflag, l_shipdate, l_tax"
+
 PARTS = {
-    "ties0": """
-SELECT ((l.l_orderkey*10 + l.l_linenumber)*100000 + l.l_partkey)*10000 + l.l_suppkey AS claim_id,
-       o.o_custkey AS subject_entity_id, 1000000000 + l.l_suppkey AS object_entity_id,
+    "ties0": f"""
+SELECT concat_ws('-','t',l.l_orderkey,l.l_linenumber,l.l_partkey,l.l_suppkey,row_number() OVER (
+         PARTITION BY l.l_orderkey,l.l_linenumber,l.l_partkey,l.l_suppkey ORDER BY {LINE_REST})) AS claim_id,
+       o.o_custkey AS subject_entity_id, -2*l.l_suppkey-1 AS object_entity_id,
        CASE WHEN l.l_returnflag='R' THEN 'corresponded-with' ELSE 'associated-with' END AS predicate,
        CASE WHEN l.l_returnflag<>'R' THEN abs(round(l.l_discount*10,1)) END AS confidence_point,
        CAST(o.o_orderdate AS DATE) AS se0,
@@ -44,35 +48,35 @@ SELECT c_custkey AS c, c_name, lower(c_mktsegment) || ' account ' || c_nationkey
        CAST(1500 + c_custkey % 120 AS INTEGER) AS born,
        CAST(1500 + c_custkey % 120 + 40 + c_nationkey AS INTEGER) AS died FROM customer""",
     "attributes": """
-SELECT c*10 AS claim_id, c AS subject_entity_id, NULL::BIGINT AS object_entity_id, 'has-name' AS predicate,
+SELECT 'a-'||c||'-0' AS claim_id, c AS subject_entity_id, NULL::BIGINT AS object_entity_id, 'has-name' AS predicate,
        c_name AS value, 'primary' AS name_kind, NULL::INTEGER AS year, NULL::DOUBLE AS source_point, nation AS agent FROM cust
-UNION ALL SELECT c*10+1, c, NULL, 'has-name', alias, 'alias', NULL, NULL, nation FROM cust
-UNION ALL SELECT c*10+2, c, NULL, 'born', CAST(born AS VARCHAR), NULL, born, NULL, nation FROM cust
-UNION ALL SELECT c*10+3, c, NULL, 'died', CAST(died AS VARCHAR), NULL, died, NULL, nation FROM cust WHERE c_acctbal>=0
-UNION ALL SELECT c*10+4, c, NULL, 'has-gender', CASE WHEN c%3=0 THEN 'male' ELSE 'female' END, NULL, NULL, NULL, nation FROM cust WHERE c%3<>2
-UNION ALL SELECT c*10+5, c, NULL, 'has-description', c_mktsegment, NULL, NULL, NULL, nation FROM cust WHERE c_acctbal>5000
-UNION ALL SELECT c*10+6, c, NULL, 'has-external-id', CAST(c+500 AS VARCHAR), NULL, NULL, NULL, nation FROM cust WHERE c%7<>0
-UNION ALL SELECT c*10+7, c, NULL, 'born', CAST(born+1 AS VARCHAR), NULL, born+1, 0.45, nation FROM cust WHERE c%11=0
-UNION ALL SELECT c*10+9, c, c-1, 'same-as', NULL, NULL, NULL, 0.8, nation FROM cust WHERE c%10 IN (1,2,3)
-UNION ALL SELECT (1000000000+s_suppkey)*10, 1000000000+s_suppkey, NULL, 'has-name', s_name, 'primary', NULL, NULL, s_suppkey%25 FROM supplier
-UNION ALL SELECT (2000000000+p_partkey)*10, 2000000000+p_partkey, NULL, 'has-name', p_name, 'primary', NULL, NULL, p_partkey%25 FROM part
-UNION ALL SELECT (2000000000+p_partkey)*10+1, 2000000000+p_partkey, NULL, 'has-name', lower(p_type)||' '||lower(p_brand), 'alias', NULL, NULL, p_partkey%25 FROM part""",
+UNION ALL SELECT 'a-'||c||'-1', c, NULL, 'has-name', alias, 'alias', NULL, NULL, nation FROM cust
+UNION ALL SELECT 'a-'||c||'-2', c, NULL, 'born', CAST(born AS VARCHAR), NULL, born, NULL, nation FROM cust
+UNION ALL SELECT 'a-'||c||'-3', c, NULL, 'died', CAST(died AS VARCHAR), NULL, died, NULL, nation FROM cust WHERE c_acctbal>=0
+UNION ALL SELECT 'a-'||c||'-4', c, NULL, 'has-gender', CASE WHEN c%3=0 THEN 'male' ELSE 'female' END, NULL, NULL, NULL, nation FROM cust WHERE c%3<>2
+UNION ALL SELECT 'a-'||c||'-5', c, NULL, 'has-description', c_mktsegment, NULL, NULL, NULL, nation FROM cust WHERE c_acctbal>5000
+UNION ALL SELECT 'a-'||c||'-6', c, NULL, 'has-external-id', CAST(c+500 AS VARCHAR), NULL, NULL, NULL, nation FROM cust WHERE c%7<>0
+UNION ALL SELECT 'a-'||c||'-7', c, NULL, 'born', CAST(born+1 AS VARCHAR), NULL, born+1, 0.45, nation FROM cust WHERE c%11=0
+UNION ALL SELECT 'a-'||c||'-9', c, c-1, 'same-as', NULL, NULL, NULL, 0.8, nation FROM cust WHERE c%10 IN (1,2,3)
+UNION ALL SELECT 'a-'||(-2*s_suppkey-1)||'-0', -2*s_suppkey-1, NULL, 'has-name', s_name, 'primary', NULL, NULL, s_suppkey%25 FROM supplier
+UNION ALL SELECT 'a-'||(-2*p_partkey-2)||'-0', -2*p_partkey-2, NULL, 'has-name', p_name, 'primary', NULL, NULL, p_partkey%25 FROM part
+UNION ALL SELECT 'a-'||(-2*p_partkey-2)||'-1', -2*p_partkey-2, NULL, 'has-name', lower(p_type)||' '||lower(p_brand), 'alias', NULL, NULL, p_partkey%25 FROM part""",
     "user_events": """
-SELECT event_id*4+3 AS id, user_id*10 + event_id%10 AS claim_id, ts AS occurred_at,
+SELECT 'u-'||event_id AS id, 'a-'||user_id||'-'||(event_id%10) AS claim_id, ts AS occurred_at,
        CASE event_type WHEN 'signup' THEN 'assert' WHEN 'error' THEN 'dispute' WHEN 'view' THEN 'undispute'
             ELSE CASE WHEN event_type='click' AND event_id%97=0 THEN 'supersede' ELSE 'adjust_confidence' END END AS event_type,
        user_id%25 AS actor_agent_id, round(value/500,2) AS point FROM events""",
     "attribute_events": """
-SELECT claim_id*4 AS id, claim_id, TIMESTAMP '2023-01-01 00:00:00' AS occurred_at, 'assert' AS event_type,
+SELECT claim_id||'/0' AS id, claim_id, TIMESTAMP '2023-01-01 00:00:00' AS occurred_at, 'assert' AS event_type,
        agent AS actor_agent_id, NULL::DOUBLE AS point FROM attributes
 UNION ALL SELECT id, claim_id, occurred_at, event_type, actor_agent_id, point FROM user_events
 WHERE claim_id IN (SELECT claim_id FROM attributes)""",
     "tie_events": """
-SELECT claim_id*4 AS id, claim_id, CAST(recorded_day AS TIMESTAMP) AS occurred_at, 'assert' AS event_type,
+SELECT claim_id||'/0' AS id, claim_id, CAST(recorded_day AS TIMESTAMP) AS occurred_at, 'assert' AS event_type,
        asserted_by_agent_id AS actor_agent_id, NULL::DOUBLE AS point FROM ties
-UNION ALL SELECT claim_id*4+1, claim_id, CAST(recorded_day+10 AS TIMESTAMP), 'dispute', asserted_by_agent_id, NULL FROM ties WHERE quantity>=41 AND quantity<50
-UNION ALL SELECT claim_id*4+2, claim_id, CAST(recorded_day+20 AS TIMESTAMP), 'undispute', asserted_by_agent_id, NULL FROM ties WHERE quantity>=41 AND quantity<46
-UNION ALL SELECT claim_id*4+2, claim_id, CAST(recorded_day+30 AS TIMESTAMP), 'supersede', asserted_by_agent_id, NULL FROM ties WHERE quantity>=50""",
+UNION ALL SELECT claim_id||'/1', claim_id, CAST(recorded_day+10 AS TIMESTAMP), 'dispute', asserted_by_agent_id, NULL FROM ties WHERE quantity>=41 AND quantity<50
+UNION ALL SELECT claim_id||'/2', claim_id, CAST(recorded_day+20 AS TIMESTAMP), 'undispute', asserted_by_agent_id, NULL FROM ties WHERE quantity>=41 AND quantity<46
+UNION ALL SELECT claim_id||'/3', claim_id, CAST(recorded_day+30 AS TIMESTAMP), 'supersede', asserted_by_agent_id, NULL FROM ties WHERE quantity>=50""",
     "log": "SELECT * FROM tie_events UNION ALL SELECT * FROM attribute_events",
     # Replays of a log one event at a time, as text of what happened so far.
     "attribute_replay": """
@@ -115,13 +119,13 @@ SELECT subject_entity_id AS entity_id, object_entity_id AS counterpart_id, * FRO
 UNION ALL SELECT object_entity_id, subject_entity_id, * FROM rels WHERE subject_entity_id<>object_entity_id""",
     "ent": """
 SELECT c_custkey AS entity_id, 'person' AS entity_type FROM customer
-UNION ALL SELECT 1000000000+s_suppkey, 'organization' FROM supplier
-UNION ALL SELECT 2000000000+p_partkey, 'document' FROM part""",
+UNION ALL SELECT -2*s_suppkey-1, 'organization' FROM supplier
+UNION ALL SELECT -2*p_partkey-2, 'document' FROM part""",
     "anchor": """
 SELECT 'registry' AS authority, CAST(c_custkey AS VARCHAR) AS external_id, c_custkey AS entity_id FROM customer
 UNION ALL SELECT 'household', 'h'||c_custkey, c_custkey FROM customer
-UNION ALL SELECT 'ledger', CAST(s_suppkey AS VARCHAR), 1000000000+s_suppkey FROM supplier
-UNION ALL SELECT 'catalogue', CAST(p_partkey AS VARCHAR), 2000000000+p_partkey FROM part""",
+UNION ALL SELECT 'ledger', CAST(s_suppkey AS VARCHAR), -2*s_suppkey-1 FROM supplier
+UNION ALL SELECT 'catalogue', CAST(p_partkey AS VARCHAR), -2*p_partkey-2 FROM part""",
     "src": """
 SELECT CAST(r_regionkey AS BIGINT) AS source_id, lower(r_name) AS slug, r_name AS title, 'v'||r_regionkey AS version,
        'https://example.org/'||lower(r_name) AS retrieval_uri, r_regionkey%2=0 AS license_confirmed FROM region""",
@@ -131,12 +135,12 @@ SELECT CAST(n_nationkey AS BIGINT) AS agent_id, lower(n_name) AS slug, n_name AS
     "rec": """
 SELECT claim_id AS source_record_id, source_id, 'relationship' AS record_kind, external_id, content_hash,
        '{"line":"'||external_id||'"}' AS raw FROM ties
-UNION ALL SELECT entity_id*10+8, entity_id%5, entity_type, CAST(entity_id AS VARCHAR), md5(CAST(entity_id AS VARCHAR)),
+UNION ALL SELECT 'e-'||entity_id, abs(entity_id)%5, entity_type, CAST(entity_id AS VARCHAR), md5(CAST(entity_id AS VARCHAR)),
        '{"entity":'||entity_id||'}' FROM ent""",
     "sup": """
 SELECT claim_id, claim_id AS source_record_id FROM ties
-UNION ALL SELECT claim_id, subject_entity_id*10+8 FROM ties WHERE second_support
-UNION ALL SELECT claim_id, subject_entity_id*10+8 FROM attributes""",
+UNION ALL SELECT claim_id, 'e-'||subject_entity_id FROM ties WHERE second_support
+UNION ALL SELECT claim_id, 'e-'||subject_entity_id FROM attributes""",
     "names": """
 SELECT subject_entity_id AS entity_id, min_by(value, row(confidence_point IS NULL, name_kind<>'primary', claim_id)) AS display_name,
        min_by(claim_id, row(confidence_point IS NULL, name_kind<>'primary', claim_id)) AS name_claim_id

@@ -9,7 +9,7 @@ from claimgraph.operators import claims as reads
 from claimgraph.operators import graph
 from claimgraph.operators.paths import find_paths, path_steps
 from claimgraph.plans.columns import Y98, YEAR_98
-from claimgraph.plans.corpus import SUPPLIER_BASE, Corpus
+from claimgraph.plans.corpus import Corpus, supplier_id
 from claimgraph.plans.oracle import BAND, UNDATED, certainly, oracle, possibly
 from claimgraph.plans.registry import query
 
@@ -116,13 +116,11 @@ def _(c: Corpus) -> DataFrame:
     "r08_ranked_ties",
     oracle(f"""SELECT entity_id, claim_id, scored, CAST(row_number() OVER (PARTITION BY entity_id, scored
    ORDER BY confidence_point DESC NULLS LAST, claim_id) AS INTEGER) AS tie_rank FROM (
- SELECT *, confidence_point IS NOT NULL AS scored, row_number() OVER (PARTITION BY entity_id
-   ORDER BY confidence_point DESC NULLS LAST, claim_id) AS r FROM ({EGO_ALL}))
- WHERE r <= 500 AND entity_id IN (SELECT c_custkey FROM customer)"""),
+ SELECT *, confidence_point IS NOT NULL AS scored FROM ({EGO_ALL}))
+ WHERE entity_id IN (SELECT c_custkey FROM customer)"""),
 )
 def _(c: Corpus) -> DataFrame:
-    capped = graph.cap_edges(ego(c, 0.0, True))
-    return graph.ranked_ties(capped).select("entity_id", "claim_id", "scored", "tie_rank")
+    return graph.ranked_ties(ego(c, 0.0, True)).select("entity_id", "claim_id", "scored", "tie_rank")
 
 
 @query(
@@ -144,7 +142,7 @@ def _(c: Corpus) -> DataFrame:
     return graph.decade_counts(graph.asserted(c.ties), 1900, 2020)
 
 
-PAIRS = """SELECT min(o_custkey) AS a, 1000000000+l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY l_suppkey"""
+PAIRS = """SELECT min(o_custkey) AS a, -2*l_suppkey-1 AS b FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY l_suppkey"""
 
 
 def supplier_pairs(c: Corpus) -> DataFrame:
@@ -152,7 +150,7 @@ def supplier_pairs(c: Corpus) -> DataFrame:
     return (
         rows.groupBy("l_suppkey")
         .agg(F.min("o_custkey").alias("a"))
-        .select("a", (F.col("l_suppkey") + SUPPLIER_BASE).alias("b"))
+        .select("a", supplier_id(F.col("l_suppkey")).alias("b"))
     )
 
 
@@ -203,13 +201,13 @@ TOUCH = """SELECT subject_entity_id AS entity_id, * FROM claims
         f"""SELECT entity_id, claim_id, position, n>10 AS more FROM (
  SELECT entity_id, claim_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY claim_id) AS INTEGER) AS position,
  count(*) OVER (PARTITION BY entity_id) AS n FROM touch
- WHERE status='asserted' AND (confidence_point>=0.3 OR confidence_point IS NULL) AND {possibly(*Y98)} AND claim_id>5000000) WHERE position<=10""",
+ WHERE status='asserted' AND (confidence_point>=0.3 OR confidence_point IS NULL) AND {possibly(*Y98)}) WHERE position<=10""",
         {"touch": TOUCH},
     ),
 )
 def _(c: Corpus) -> DataFrame:
     return reads.list_claims(
-        c.claims, c.entities, threshold=0.3, start="1998", end="1998", after=5_000_000, limit=10
+        c.claims, c.entities, threshold=0.3, start="1998", end="1998", after=None, limit=10
     ).select("entity_id", "claim_id", "position", "more")
 
 
@@ -316,7 +314,7 @@ def _(c: Corpus) -> DataFrame:
 PATH_PARTS = {
     "edges": f"""SELECT entity_id AS node, counterpart_id AS next, claim_id, confidence_point AS p FROM adj
  WHERE status='asserted' AND {possibly(*Y98)} AND confidence_point>=0.9""",
-    "pairs": """SELECT c_custkey AS source, 1000000000 + min(s_suppkey) AS target FROM customer
+    "pairs": """SELECT c_custkey AS source, -2*min(s_suppkey)-1 AS target FROM customer
  JOIN supplier ON s_nationkey=c_nationkey GROUP BY c_custkey""",
     "l1": """SELECT source, target, e.next AS node, least(1.0, e.p) AS w, [claim_id] AS ids, [next] AS ents
  FROM pairs JOIN edges e ON e.node=source""",
@@ -338,7 +336,7 @@ def nation_pairs(c: Corpus) -> DataFrame:
     """Each customer and the lowest-numbered supplier of the same nation."""
     first = c.table("supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s"))
     return c.table("customer").join(first, F.col("c_nationkey") == F.col("s_nationkey")).select(
-        F.col("c_custkey").alias("source"), (F.col("s") + SUPPLIER_BASE).alias("target")
+        F.col("c_custkey").alias("source"), supplier_id(F.col("s")).alias("target")
     )
 
 
@@ -367,7 +365,7 @@ def _(c: Corpus) -> DataFrame:
     "r22b_path_steps",
     oracle(
         """SELECT source, target, path_rank, CAST(position AS INTEGER) AS position, entity_id, claim_id, display_name FROM (
- SELECT source, target, CAST(path_rank AS INTEGER) AS path_rank, 0 AS position, source AS entity_id, NULL::BIGINT AS claim_id FROM ranked WHERE path_rank<=3
+ SELECT source, target, CAST(path_rank AS INTEGER) AS path_rank, 0 AS position, source AS entity_id, NULL::VARCHAR AS claim_id FROM ranked WHERE path_rank<=3
  UNION ALL SELECT source, target, CAST(path_rank AS INTEGER), i, ents[i], ids[i] FROM ranked, range(1,4) g(i) WHERE path_rank<=3 AND i<=hops)
  LEFT JOIN summary USING (entity_id)""",
         PATH_PARTS,

@@ -9,13 +9,13 @@ from claimgraph.operators import calibration, canonical, graph, resolution
 from claimgraph.operators.asof import as_of
 from claimgraph.operators.history import current_confidence
 from claimgraph.plans.columns import Y98, YEAR_98
-from claimgraph.plans.corpus import Corpus
+from claimgraph.plans.corpus import Corpus, part_id
 from claimgraph.plans.oracle import oracle, possibly
 from claimgraph.plans.registry import query
 
 CUT = "2024-01-15 00:00:00"
 PAST = {
-    "user_events": f"""SELECT event_id*4+3 AS id, user_id*10 + event_id%10 AS claim_id, ts AS occurred_at,
+    "user_events": f"""SELECT 'u-'||event_id AS id, 'a-'||user_id||'-'||(event_id%10) AS claim_id, ts AS occurred_at,
  CASE event_type WHEN 'signup' THEN 'assert' WHEN 'error' THEN 'dispute' WHEN 'view' THEN 'undispute'
  ELSE CASE WHEN event_type='click' AND event_id%97=0 THEN 'supersede' ELSE 'adjust_confidence' END END AS event_type,
  user_id%25 AS actor_agent_id, round(value/500,2) AS point FROM events WHERE ts <= TIMESTAMP '{CUT}'""",
@@ -51,7 +51,7 @@ def _(c: Corpus) -> DataFrame:
 def _(c: Corpus) -> DataFrame:
     """Ego sizes of customers as they stood at the end of June 1998."""
     at = F.lit("1998-06-30 12:00:00").cast("timestamp_ntz")
-    past = as_of(c.recorded_claims.where(F.col("predicate") != "same-as"), c.events, at)
+    past = as_of(c.recorded_claims, c.events, at)
     ties = graph.active_ties(past, 0.6, *YEAR_98)
     return ties.groupBy(F.col("subject_entity_id").alias("entity_id")).agg(F.count("*").alias("ties"))
 
@@ -103,8 +103,9 @@ def _(c: Corpus) -> DataFrame:
 # Resolution -----------------------------------------------------------------------------
 # Parts resolve by name, with the size of the part standing in for a birth year.
 PROFILE = {
-    "pname": "SELECT DISTINCT 2000000000+p_partkey AS entity_id, lower(p_name) AS name, p_size AS born FROM part UNION SELECT 2000000000+p_partkey, lower(p_type)||' '||split_part(p_name,' ',2), p_size FROM part",
+    "pname": "SELECT DISTINCT -2*p_partkey-2 AS entity_id, lower(p_name) AS name, p_size AS born FROM part UNION SELECT -2*p_partkey-2, lower(p_type)||' '||split_part(p_name,' ',2), p_size FROM part",
     "prof": "SELECT name, born, min(entity_id) AS profile_id, count(*) AS members FROM pname GROUP BY 1,2",
+    "mem": "SELECT DISTINCT pname.entity_id, prof.profile_id FROM pname JOIN prof USING (name, born)",
     "texts": "SELECT DISTINCT name AS t FROM prof",
     "gram": """SELECT DISTINCT t, substr('  '||w||' ', CAST(i AS INTEGER), 3) AS g FROM
  (SELECT t, unnest(regexp_split_to_array(t, '[^a-z0-9]+')) AS w FROM texts), unnest(range(1, length(w)+2)) AS r(i) WHERE w<>''""",
@@ -120,7 +121,7 @@ PROFILE = {
 
 
 def part_profiles(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    part, key = c.table("part"), F.col("p_partkey") + 2_000_000_000
+    part, key = c.table("part"), part_id(F.col("p_partkey"))
     texts = F.array(
         F.col("p_name"), F.concat(F.lower("p_type"), F.lit(" "), F.split("p_name", " ")[1])
     )
@@ -175,11 +176,14 @@ def _(c: Corpus) -> DataFrame:
 @query(
     "x06_split_candidates",
     oracle(
-        """SELECT a, b, CASE WHEN p>=0.7 THEN 'same-as' ELSE 'queue' END AS part FROM scored WHERE p>=0.1""", PROFILE
+        """SELECT a, b, CASE WHEN p>=0.7 THEN 'same-as' ELSE 'queue' END AS part FROM scored WHERE p>=0.1
+ UNION SELECT profile_id, entity_id, 'same-as' FROM mem WHERE entity_id<>profile_id""", PROFILE
     ),
 )
 def _(c: Corpus) -> DataFrame:
-    same, queue = resolution.split_candidates(resolution.score_pairs(candidates(c)), low=0.1, high=0.7)
+    found, member = part_profiles(c)
+    scored = resolution.score_pairs(resolution.block_pairs(found, floor=0.4))
+    same, queue = resolution.entity_links(scored, member, low=0.1, high=0.7)
     return same.select(
         F.col("subject_entity_id").alias("a"), F.col("object_entity_id").alias("b"), F.lit("same-as").alias("part")
     ).unionByName(queue.select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), F.lit("queue").alias("part")))
@@ -189,23 +193,27 @@ def _(c: Corpus) -> DataFrame:
     "x07_er_quality",
     oracle(
         """SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, round(tp/(tp+fp),9) AS precision, round(tp/(tp+fn),9) AS recall FROM (
- SELECT count(*) FILTER (coalesce(p>=0.1,false) AND is_match) AS tp, count(*) FILTER (coalesce(p>=0.1,false) AND NOT is_match) AS fp,
- count(*) FILTER (NOT coalesce(p>=0.1,false) AND is_match) AS fn
- FROM gold LEFT JOIN scored USING (a,b))""",
+ SELECT count(*) FILTER (said AND is_match) AS tp, count(*) FILTER (said AND NOT is_match) AS fp,
+ count(*) FILTER (NOT said AND is_match) AS fn
+ FROM (SELECT g.a, g.b, is_match, coalesce(bool_or(coalesce(x.profile_id=y.profile_id,false) OR coalesce(s.p>=0.1,false)),false) AS said
+ FROM gold g LEFT JOIN mem x ON x.entity_id=g.a LEFT JOIN mem y ON y.entity_id=g.b
+ LEFT JOIN scored s ON s.a=least(x.profile_id,y.profile_id) AND s.b=greatest(x.profile_id,y.profile_id) GROUP BY 1,2,3))""",
         PROFILE
         | {
-            "gold": """SELECT x.p_partkey+2000000000 AS a, y.p_partkey+2000000000 AS b, x.p_name=y.p_name AS is_match FROM part x JOIN part y ON y.p_partkey=x.p_partkey+1"""
+            "gold": """SELECT -2*y.p_partkey-2 AS a, -2*x.p_partkey-2 AS b, x.p_name=y.p_name AS is_match FROM part x JOIN part y ON y.p_partkey=x.p_partkey+1"""
         },
     ),
 )
 def _(c: Corpus) -> DataFrame:
     """Neighbouring parts as labelled pairs: a match when they share their name."""
     part = c.table("part")
-    base = 2_000_000_000
-    left = part.select((F.col("p_partkey") + base).alias("a"), F.col("p_name").alias("_x"), (F.col("p_partkey") + base + 1).alias("b"))
-    right = part.select((F.col("p_partkey") + base).alias("b"), F.col("p_name").alias("_y"))
-    gold = left.join(right, "b").select("a", "b", (F.col("_x") == F.col("_y")).alias("is_match"))
-    quality = resolution.er_quality(resolution.score_pairs(candidates(c)), gold, 0.1)
+    key = F.col("p_partkey")
+    left = part.select(part_id(key).alias("b"), F.col("p_name").alias("_x"), part_id(key + 1).alias("a"))
+    right = part.select(part_id(key).alias("a"), F.col("p_name").alias("_y"))
+    gold = left.join(right, "a").select("a", "b", (F.col("_x") == F.col("_y")).alias("is_match"))
+    found, member = part_profiles(c)
+    scored = resolution.score_pairs(resolution.block_pairs(found, floor=0.4))
+    quality = resolution.er_quality(scored, gold, 0.1, member)
     return quality.withColumns({n: F.round(n, 9) for n in ("precision", "recall")})
 
 

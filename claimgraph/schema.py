@@ -48,8 +48,6 @@ THRESHOLD_LADDER = (0.0, 0.2, 0.4, 0.6, 0.8, 0.9)
 EARLIEST_DATE = "0001-01-01"
 LATEST_DATE = "9999-12-31"
 EDGE_CAP = 500
-PATH_DEPTH_LIMIT = 4
-PATH_COUNT_LIMIT = 5
 NAME_SIMILARITY_FLOOR = 0.3
 # Registries of the two source mappings: predicate, label, range kind, symmetric.
 PEOPLE_TYPES = (

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.functions.temporal import window_bounds
-from claimgraph.operators import actions, canonical, graph, history, ingest, letters, people, validate
+from claimgraph.operators import actions, canonical, graph, history, ingest, letters, people, resolution, validate
 from claimgraph.operators.calibration import monotone_map
 from claimgraph.operators.ordered import carry_before
 from claimgraph.operators.paths import find_paths
@@ -274,30 +274,31 @@ def test_person_lines_are_canonical(spark):
 
 def test_tie_order_inversion_dangling_and_repeats(spark):
     persons, rels = rows_of(
-        spark, [person(id="475"), person(id="473"), person(id="9")],
-        [("r1", "475", "473", "97", "1590", "AF/IN", "1626", "BF/IN"),
-         ("", "473", "475", "40", "1650", "AF/IN", "1600", "BF/IN"),
-         ("r3", "473", "404", "10", "", "", "", "")],
+        spark, [person(id="52"), person(id="37"), person(id="9")],
+        [("r1", "52", "37", "81", "1712", "AF/IN", "1733", "BF/IN"),
+         ("", "37", "52", "40", "1760", "AF/IN", "1741", "BF/IN"),
+         ("r3", "37", "404", "10", "", "", "", ""), ("r4", "9", "52", "strong", "", "", "", "")],
     )
     out = {r["support"][0]["external_id"]: r for r in people.relationship_claims(rels, persons).collect()}
-    assert set(out) == {"r1", "473-475"}
+    assert set(out) == {"r1", "37-52"}
     first = out["r1"]
-    assert (first["subject"]["id"], first["object_entity"]["id"], first["confidence"]["point"]) == ("473", "475", 0.97)
-    assert str(first["valid_time"]["start_earliest"]) == "1590-01-01" and str(first["valid_time"]["end_latest"]) == "1626-12-31"
-    assert out["473-475"]["valid_time"]["start_earliest"] is None
+    assert (first["subject"]["id"], first["object_entity"]["id"], first["confidence"]["point"]) == ("37", "52", 0.81)
+    assert str(first["valid_time"]["start_earliest"]) == "1712-01-01" and str(first["valid_time"]["end_latest"]) == "1733-12-31"
+    assert out["37-52"]["valid_time"]["start_earliest"] is None
     line = ndjson.claim_lines(people.relationship_claims(rels.where("id = ''"), persons)).first()["line"]
     assert json.loads(line)["valid_time"] == {"original": {
-        "start": {"type_code": "AF/IN", "year": "1650"}, "end": {"type_code": "BF/IN", "year": "1600"}}}
+        "start": {"type_code": "AF/IN", "year": "1760"}, "end": {"type_code": "BF/IN", "year": "1741"}}}
     counters = {r["counter"]: r["n"] for r in people.anomaly_counters(persons, rels).collect()}
     assert counters == {
         "odnb_zero_sentinel": 3, "relationship_dangling_endpoint_skipped": 1,
         "valid_time_inverted_dropped_bounds": 1, "bad_year_value": 0, "duplicate_pair_kept": 1,
+        "bad_score_set_aside": 1,
     }
 
 
 XML = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><list>
 <correspDesc key="A1" ref="https://example.org/a1" source="#ed">
- <correspAction type="sent"><persName ref="http://d-nb.info/gnd/11">Eva  Ring</persName><placeName ref="https://example.org/p">Ulm</placeName><date when="1600-05">May</date></correspAction>
+ <correspAction type="sent"><persName ref="http://d-nb.info/gnd/11">Eva  Ring</persName><placeName ref="https://example.org/p">Ulm</placeName><date when="1741-05">May</date></correspAction>
  <correspAction type="received"><persName ref="http://d-nb.info/gnd/12">Jon Dale</persName></correspAction>
 </correspDesc>
 <correspDesc key="A2" ref="https://example.org/a2"><correspAction type="sent"><persName ref="http://d-nb.info/gnd/13">Kit</persName></correspAction>
@@ -479,3 +480,40 @@ def test_window_defaults_to_all_time(spark):
     w0, w1 = window_bounds(None, None)
     row = spark.range(1).select(w0, w1).first()
     assert (str(row[0]), str(row[1])) == ("0001-01-01", "9999-12-31")
+
+
+def test_swapped_header_and_split_files(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text("name,id\n" + "".join(f"n{i},{i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        rows = delimited.read_delimited(spark, str(path), columns=["id", "name"])
+        assert rows.columns == ["id", "name"] and rows.where("id = '7'").first()["name"] == "n7"
+        assert rows.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_caps_are_honoured_and_ranks_are_whole(spark):
+    from claimgraph.operators import paths
+
+    rows = [(i, 1, 1000 + i, (i % 100) / 100) for i in range(700)]
+    hub = ties(spark, rows).select("*", F.col("subject_entity_id").alias("entity_id"), F.col("object_entity_id").alias("counterpart_id"))
+    assert graph.cap_edges(hub, 600).count() == 600
+    assert graph.ranked_ties(hub).count() == 700
+    with pytest.raises(ValueError):
+        graph.cap_edges(hub, 0)
+    with pytest.raises(ValueError):
+        paths.find_paths(ties(spark, rows), spark.createDataFrame([(1, 1001)], "source long, target long"), max_depth=0)
+
+
+def test_members_of_one_profile_are_linked_and_count_as_predicted(spark):
+    member = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "entity_id long, profile_id long")
+    scored = spark.createDataFrame(
+        [(1, 3, 0.9, 0.99, 0, None)], "a long, b long, similarity double, p double, born_gap int, died_gap int"
+    )
+    same, _ = resolution.entity_links(scored, member, 0.5, 0.95)
+    assert {(r["subject_entity_id"], r["object_entity_id"]) for r in same.collect()} == {(1, 3), (1, 2)}
+    gold = spark.createDataFrame([(1, 2, True), (1, 3, True), (2, 3, True)], "a long, b long, is_match boolean")
+    row = resolution.er_quality(scored, gold, 0.5, member).first()
+    assert (row["true_positives"], row["false_negatives"], row["recall"]) == (3, 0, 1.0)
