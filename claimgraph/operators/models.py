@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.functions.temporal import dates_or_null
 from claimgraph.functions.text import literal_value
 from claimgraph.operators.graph import adjacency, relationships
 from claimgraph.operators.history import asserted
 
-LIFE = ("born_earliest", "born_latest", "died_earliest", "died_latest")
 
 
 def _value() -> Column:
@@ -122,11 +120,6 @@ def rebuild_entity_summary(entities: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
-def with_life_dates(summary: DataFrame) -> DataFrame:
-    """Fold the four life bounds into one struct, NULL when none is known."""
-    return summary.withColumn("life_dates", dates_or_null(LIFE)).drop(*LIFE)
-
-
 def rebuild_name_search(claims: DataFrame) -> DataFrame:
     """One row per asserted name claim: the surface that search reads."""
     return asserted(claims).where(_is("has-name") & _value().isNotNull()).select(

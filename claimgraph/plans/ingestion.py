@@ -19,8 +19,8 @@ from claimgraph.operators.ordered import numbered
 from claimgraph.plans.corpus import Corpus
 from claimgraph.plans.oracle import oracle
 from claimgraph.plans.registry import query
-from claimgraph.schema import BOUNDS, PEOPLE_COLUMNS
-from claimgraph.session import fresh_path, materialise
+from claimgraph.schema import BOUNDS, PEOPLE_COLUMNS, PEOPLE_TYPES, source_types
+from claimgraph.session import fresh_path
 from claimgraph.sources import delimited, export, manifest, ndjson
 from claimgraph.sources.letters import read_letters
 
@@ -310,6 +310,32 @@ def _(c: Corpus) -> DataFrame:
     )
 
 
+def _values(rows) -> str:
+    """Registry rows as SQL."""
+    def one(v) -> str:
+        return str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+
+    return ", ".join(f"({', '.join(map(one, r))})" for r in rows)
+
+
+@query(
+    "m26_registries",
+    oracle(
+        f"""SELECT slug, label, range_kind, is_symmetric, count(predicate) AS uses
+ FROM (VALUES {_values(PEOPLE_TYPES)}) v(slug, label, range_kind, is_symmetric) LEFT JOIN (
+ SELECT predicate FROM ({PRIMARY}) UNION ALL SELECT predicate FROM ({ALIAS}) UNION ALL SELECT predicate FROM ({LIFE})
+ UNION ALL SELECT predicate FROM ({GENDER}) UNION ALL SELECT predicate FROM ({DESCRIPTION}) UNION ALL SELECT predicate FROM ({EXTERNAL})
+ UNION ALL SELECT 'associated-with' FROM ({TIE_CLAIM})) ON predicate=slug GROUP BY 1,2,3,4""",
+        PEOPLE,
+    ),
+)
+def _(c: Corpus) -> DataFrame:
+    """The relation types that the people mapping registers, with the claims it makes of each."""
+    _, claims, _ = people.transform(people_rows(c), tie_rows(c))
+    uses = claims.groupBy(F.col("predicate").alias("slug")).agg(F.count("*").alias("uses"))
+    return source_types(c.spark).join(uses, "slug", "left").fillna(0, ["uses"])
+
+
 # Letters ---------------------------------------------------------------------------
 LETTER_DATE = {
     0: {"when": "full"}, 1: {"when": "month"}, 2: {"when": "year"},

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from claimgraph.functions.text import trigram_similarity, trigrams
 from claimgraph.operators import actions as acts
 from claimgraph.operators import models, search, stats
-from claimgraph.operators.graph import relationships
 from claimgraph.operators.ingest import tally_runs
 from claimgraph.plans.corpus import Corpus, attribute_id
 from claimgraph.plans.oracle import BAND, UNDATED, oracle

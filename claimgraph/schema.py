@@ -69,6 +69,29 @@ LETTER_AUTHORITIES = (
     ("gnd", "Gemeinsame Normdatei (GND)", True),
     ("correspsearch", "correspSearch letter id", True),
 )
+# Columns every source row has, all text.
+PEOPLE_COLUMNS = (
+    "id",
+    "display_name",
+    "search_names_all",
+    "birth_year",
+    "birth_type",
+    "death_year",
+    "death_type",
+    "gender",
+    "description",
+    "odnb_id",
+)
+TIE_COLUMNS = (
+    "id",
+    "person1_id",
+    "person2_id",
+    "max_certainty",
+    "start_year",
+    "start_type",
+    "end_year",
+    "end_type",
+)
 # --------------------------------------------------------------------------
 
 ENTITY_RANGED = tuple(r[0] for r in RELATION_TYPES if r[3] == "entity")
@@ -135,39 +158,6 @@ INTERCHANGE_ENTITY = T.StructType(
         T.StructField("external_ids", T.ArrayType(REF)),
     ]
 )
-EVENT = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("claim_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("occurred_at", T.TimestampType()),
-        T.StructField("actor_agent_id", T.LongType()),
-        T.StructField("payload", T.StringType()),
-    ]
-)
-# Columns every source row has, all text.
-PEOPLE_COLUMNS = (
-    "id",
-    "display_name",
-    "search_names_all",
-    "birth_year",
-    "birth_type",
-    "death_year",
-    "death_type",
-    "gender",
-    "description",
-    "odnb_id",
-)
-TIE_COLUMNS = (
-    "id",
-    "person1_id",
-    "person2_id",
-    "max_certainty",
-    "start_year",
-    "start_type",
-    "end_year",
-    "end_type",
-)
 
 
 def relation_types(spark: SparkSession) -> DataFrame:
