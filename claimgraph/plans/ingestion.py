@@ -564,6 +564,18 @@ def _(c: Corpus) -> DataFrame:
     return counted.withColumn("broken", F.try_parse_json("line").isNull())
 
 
+@query(
+    "s04b_numbered_lines",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no, '{"o_orderkey":'||o_orderkey||',"o_custkey":'||o_custkey||'}' AS line FROM orders""",
+)
+def _(c: Corpus) -> DataFrame:
+    """Orders written as lines of many files in the order of their keys, and read back with line numbers."""
+    path = fresh_path(c.spark, "numbered-lines")
+    line = F.to_json(F.struct("o_orderkey", "o_custkey"))
+    ndjson.write_ndjson(c.table("orders").orderBy("o_orderkey").select(line.alias("line")), path)
+    return ndjson.read_ndjson(c.spark, path).select("line_no", "line")
+
+
 def _json_date(name: str) -> str:
     return f"""CASE WHEN {name} IS NULL THEN 'null' ELSE '"'||{name}||'"' END"""
 

@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgraph.functions.wire import json_object, member, raw_member
+from claimgraph.operators.ordered import numbered
 from claimgraph.schema import BOUNDS
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """``file, offset, line``: non-blank lines, good or bad, with a stable order.
+    """``file, line_no, line``: non-blank lines, good or bad, verbatim, ready to be imported.
 
-    Distributed text has no line numbers; (file, offset within the read) orders the
-    lines. Use :func:`numbered` where a batch is small enough to count its lines.
+    ``line_no`` counts all lines of all files, by file name and place in the file, whatever the size of the
+    splits they are read in.
     """
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("offset"),
-        F.trim("value").alias("line"),
+        F.monotonically_increasing_id().alias("offset"),  # orders the lines of one split
+        F.col("value").alias("line"),
     )
-    return rows.where(F.col("line") != "")
+    lines = numbered(rows, "file", "block", "offset")
+    return lines.where(F.trim("line") != "").select("file", "line_no", "line")
 
 
 def _ref(column: Column) -> Column:

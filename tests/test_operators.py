@@ -517,3 +517,21 @@ def test_members_of_one_profile_are_linked_and_count_as_predicted(spark):
     gold = spark.createDataFrame([(1, 2, True), (1, 3, True), (2, 3, True)], "a long, b long, is_match boolean")
     row = resolution.er_quality(scored, gold, 0.5, member).first()
     assert (row["true_positives"], row["false_negatives"], row["recall"]) == (3, 0, 1.0)
+
+
+def test_line_numbers_hold_at_any_split_size_and_feed_an_import(spark, tmp_path):
+    lines = [claim_line(support=None) if i % 7 == 0 else claim_line() for i in range(900)]
+    lines[5] = "   "
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.ndjson").write_text("\n".join(lines) + "\n")
+    found = []
+    for size in ("20000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.append(ndjson.read_ndjson(spark, str(tmp_path)).orderBy("line_no").collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1]
+    assert [r["line_no"] for r in found[0]] == [i for i in range(1, 1801) if i not in (6, 906)]
+    assert found[0][0]["file"].endswith("a.ndjson") and found[0][0]["line"] == lines[0]
+    checked = validate.validate_claims(ndjson.read_ndjson(spark, str(tmp_path)).drop("file"))
+    bad = {r["line_no"] for r in checked.where(F.size("errors") > 0).select("line_no").collect()}
+    assert bad == {k + i + 1 for k in (0, 900) for i in range(900) if i % 7 == 0}
