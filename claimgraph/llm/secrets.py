@@ -175,11 +175,12 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         [(asked.index(t), no, c, len(trigrams)) for no, c, trigrams in clauses for t in trigrams],
         "trigram int, rule int, clause int, needed int",
     ))
-    low = F.lower("text")
+    # Lowered in a projection of its own, so that it is done once and not for every trigram.
+    low = docs.select("doc_id", F.lower("text").alias("low"))
     held = F.array_compact(F.array(*(
-        F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(asked)
+        F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(asked)
     )))
-    postings = docs.select("doc_id", F.explode(held).alias("trigram"))
+    postings = low.select("doc_id", F.explode(held).alias("trigram"))
     met = (
         postings.join(queries, "trigram")
         .groupBy("doc_id", "rule", "clause", "needed")
