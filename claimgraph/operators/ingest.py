@@ -222,17 +222,21 @@ def version_records(
 
     Same key and content is a duplicate. New content under a known key supersedes the
     version that arrived last. ``existing``: record columns with ``source_record_id``
-    and ``arrival``.
+    and ``arrival``; only records whose keys the batch names take part, so a small batch does not
+    shuffle the store.
     """
     arrival = line_id(batch_no, F.col("line_no"))
     rows = support.withColumns({"source_record_id": record_id(), "arrival": arrival})
     order = F.struct("line_no", "position")
-    firsts = rows.groupBy("source_record_id").agg(
-        F.min_by(F.struct(*RECORD_KEY, "content_hash", "raw", "arrival", "line_no", "position"), order).alias("_f")
-    ).select("source_record_id", "_f.*")
-    known = existing.select("source_record_id")
-    new = firsts.join(known, "source_record_id", "left_anti")
-    last_known = existing.groupBy(*RECORD_KEY).agg(
+    # The winners first, by their places alone; their records are fetched afterwards.
+    place = ["source_record_id", "line_no", "position"]
+    winners = rows.groupBy("source_record_id").agg(F.min(order).alias("_w")).select("source_record_id", "_w.*")
+    firsts = rows.join(winners, place).select(*place, *RECORD_KEY, "content_hash", "raw", "arrival")
+    held = existing.select("source_record_id", *RECORD_KEY, "arrival").join(
+        rows.select(*RECORD_KEY).distinct(), RECORD_KEY, "left_semi"
+    )
+    new = firsts.join(held.select("source_record_id"), "source_record_id", "left_anti")
+    last_known = held.groupBy(*RECORD_KEY).agg(
         F.max_by("source_record_id", "arrival").alias("_known")
     )
     chained = carry_before(
@@ -271,9 +275,11 @@ def dedupe_claims(
     key = IDENTITY + ["source_record_id"]
     primary = outcomes.where(F.col("position") == 0).select("line_no", "source_record_id")
     keyed = claims.join(primary, "line_no")
-    stored = claim.select("claim_id", *IDENTITY).join(
-        support.select("claim_id", "source_record_id"), "claim_id"
+    # Only stored claims that rest on a record of the batch can be repeated.
+    touching = support.select("claim_id", "source_record_id").join(
+        primary.select("source_record_id").distinct(), "source_record_id", "left_semi"
     )
+    stored = claim.select("claim_id", *IDENTITY).join(touching, "claim_id")
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
     fresh = keyed.alias("n").join(stored.alias("s"), same, "left_anti")
     wanted = fresh.groupBy(*key).agg(F.min("line_no").alias("line_no"))

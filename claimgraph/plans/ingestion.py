@@ -20,7 +20,7 @@ from claimgraph.plans.corpus import Corpus
 from claimgraph.plans.oracle import oracle
 from claimgraph.plans.registry import query
 from claimgraph.schema import BOUNDS, PEOPLE_COLUMNS, PEOPLE_TYPES, source_types
-from claimgraph.session import fresh_path
+from claimgraph.session import fresh_path, materialise
 from claimgraph.sources import delimited, export, manifest, ndjson
 from claimgraph.sources.letters import read_letters
 
@@ -1002,6 +1002,32 @@ def _(c: Corpus) -> DataFrame:
     return imported(c)["report"]
 
 
+@query(
+    "i15b_second_import",
+    oracle(
+        """SELECT (SELECT count(*) FROM judged) AS received, 0::BIGINT AS inserted, (SELECT count(*) FROM good) AS duplicates,
+ 0::BIGINT AS superseded, (SELECT count(*) FROM judged WHERE reason IS NOT NULL) AS rejected""",
+        WIRE,
+    ),
+)
+def _(c: Corpus) -> DataFrame:
+    """The same lines a second time, on the store that the first import left: nothing is new."""
+    lines, before = wire_lines(c), store(c)
+    first = {k: materialise(imported(c, lines)[k], k) for k in ("records", "claims", "support")}
+    text = F.col("claim_id").cast("string")
+    after = ingest.Store(
+        before.relation_types, before.anchors, before.sources, first["records"],
+        before.claims.select("claim_id", *ingest.IDENTITY).unionByName(
+            first["claims"].withColumn("claim_id", text).select("claim_id", *ingest.IDENTITY)
+        ),
+        before.support.unionByName(first["support"].withColumn("claim_id", text)),
+    )
+    return ingest.import_claims(
+        lines, after, batch_no=1, agent_id=1, run_id="run-2",
+        recorded_at=F.lit("2024-07-01 00:00:00").cast("timestamp_ntz"),
+    )["report"]
+
+
 @query(
     "i17_check_claims",
     oracle("""SELECT claim_id, unnest(string_split(v,'|')) AS violation FROM (SELECT claim_id, concat_ws('|',
