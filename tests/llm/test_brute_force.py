@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from claimgraph.llm import (
     chat, decontaminate, dom, fertility, language, mixing, near, pii, secrets, toxicity, words, wrapper,
 )
@@ -226,17 +227,14 @@ def water(total, nodes):
     return budget
 
 
-def test_mixing_equals_brute_force(spark):
-    rng = random.Random(6)
-    docs = [
-        (i, " ".join("w" for _ in range(rng.randint(1, 60))), rng.choice(["en", "en", "fr", None]), f"src{rng.choice([0, 0, 0, 3, 8, 15])}")
-        for i in range(400)
-    ]
-    mix = mixing.Mix(share=0.9, epochs=2, buckets=1)
-    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
-    found = sorted((r["doc_id"], r["epoch"]) for r in mixing.mixed(frame, mix).collect())
-    domain = {"src0": "web", "src3": "web", "src8": "reference", "src15": "forum"}
-    rows = [(i, len(t.split()), domain[s], l or "", s) for i, t, l, s in docs]
+def domain_of(source):
+    n = int(source[3:])
+    return "web" if n < 7 else "reference" if n < 14 else "forum"
+
+
+def mixed(docs, mix):
+    """``(doc_id, epoch)`` of the mixture of ``(doc_id, text, lang, source)`` rows, by hand."""
+    rows = [(i, len(t.split()), domain_of(s), l or "", s) for i, t, l, s in docs]
     leaves = {}
     for r in rows:
         leaves[r[2:]] = leaves.get(r[2:], 0) + r[1]
@@ -247,7 +245,7 @@ def test_mixing_equals_brute_force(spark):
     def weight(level, name):
         return mix.weights[level].get(name, 1.0)
 
-    expected = []
+    out = []
     domains = water(sum(leaves.values()) * mix.share, {d: (weight("domain", d), under(d)) for d in {k[0] for k in leaves}})
     for d, b in domains.items():
         langs = water(b, {x: (weight("lang", x), under(d, x)) for x in {k[1] for k in leaves if k[0] == d}})
@@ -256,13 +254,58 @@ def test_mixing_equals_brute_force(spark):
                 own = [r for r in rows if r[2:] == (d, x, s)]
                 tokens = leaves[d, x, s]
                 whole = int(budget / tokens + 1e-9)
-                expected += [(r[0], e) for r in own for e in range(whole)]
+                out += [(r[0], e) for r in own for e in range(whole)]
                 left = budget - whole * tokens
                 for r in sorted(own, key=lambda r: hashlib.md5(f"{mix.seed}:{whole}:{r[0]}".encode()).hexdigest()):
                     if left > 1e-6:
-                        expected.append((r[0], whole))
+                        out.append((r[0], whole))
                     left -= r[1]
-    assert found == sorted(expected)
+    return sorted(out)
+
+
+def test_mixing_equals_brute_force(spark):
+    rng = random.Random(6)
+    docs = [
+        (i, " ".join("w" for _ in range(rng.randint(1, 60))), rng.choice(["en", "en", "fr", None]), f"src{rng.choice([0, 0, 0, 3, 8, 15])}")
+        for i in range(400)
+    ]
+    mix = mixing.Mix(share=0.9, epochs=2, buckets=1)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    found = sorted((r["doc_id"], r["epoch"]) for r in mixing.mixed(frame, mix).collect())
+    assert found == mixed(docs, mix)
+
+
+# --- pipeline --------------------------------------------------------------------------------------------
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    item = prose(rng, 40, "abcdefghijklmnopqrstuvwxyz")
+    docs = []
+    for i in range(120):
+        lang = ("xx", "yy")[i % 2]
+        text = prose(rng, rng.randint(20, 60), {"xx": "aeioust", "yy": "eilnrmd"}[lang])
+        if i % 10 == 3:
+            text = docs[-2][1]  # a copy
+        if i % 10 == 5:
+            text += " token = " + "k" * 12
+        if i % 10 == 7:
+            text = f"{text} {item} {text[:40]}"
+        if i % 40 == 9:
+            text = "12345 ?! 678"
+        docs.append((i, text, lang, f"src{rng.choice([1, 8, 15])}"))
+    frame = spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [d for d in docs if re.search("[a-z]", d[1])]
+    of = groups([(d[0], d[1]) for d in kept], 5)
+    kept = [d for d in kept if of[d[0]][1] == d[0] and item not in d[1]]
+    kept = [(i, re.sub(r"token = [A-Za-z0-9]{6,}", "<ASSIGN>", t), x, s) for i, t, x, s in kept]
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["epoch"]) for r in rows) == mixed(kept, mixing.Mix())
+    texts = {d[0]: d[1] for d in kept}
+    assert all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in rows)
+    assert any("<ASSIGN>" in r["text"] for r in rows)
 
 
 # --- language --------------------------------------------------------------------------------------------
