@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.llm.scratch import Scratch
@@ -24,7 +24,7 @@ SAMPLE_DOCUMENTS = 1500
 ROUNDS = 3
 MAX_PIECE = 8  # code points
 SMOOTHING = 0.02
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 UNDETERMINED = "und"
 #: A document whose best language has a lower posterior is rejected by :func:`identified`.
 LEAST_SCORE = 0.5

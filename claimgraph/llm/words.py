@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 @dataclass
@@ -41,20 +40,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for buffers of up to ``2**bits`` bytes."""
-    tables = []
-    for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(1 << bits, factor, dtype=np.uint64)
-        steps[0] = 1
-        tables.append(np.cumprod(steps, dtype=np.uint64))
-    return tables[0], tables[1]
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, one pair of tables per process, as long as its longest buffer."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        _POWERS.clear()
+        for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(size, CHUNK_BYTES + (1 << 18)), factor, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.cumprod(steps, dtype=np.uint64))
+    return _POWERS
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte ranges ``[start, end)``; equal bytes give equal hashes anywhere."""
-    power, inverse = _powers(max(12, int(len(data)).bit_length()))
+    power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     raw = (sums[end] - sums[start]) * inverse[start]
