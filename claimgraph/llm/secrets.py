@@ -42,11 +42,19 @@ class Rule:
 _KEYWORDS = "|".join(
     [*map(_any_case, ("password", "passwd", "secret", "token")), f"{_any_case('api')}_?{_any_case('key')}"]
 )
+#: What follows a key's header: all up to its END line; where that is missing, the base64 block (which ends in a
+#: long run) and a short last line. Classes and short repeats alone, so that long texts need no deep recursion.
+_KEY_BODY = (
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[\x20\t\r\n\\rn]+(?:Proc-Type|DEK-Info|Key-Info|Content-Domain):\x20*[A-Za-z0-9,-]*){0,9}"
+    r"(?:[A-Za-z0-9+/=\x20\t\r\n\\\x22\x27]*[A-Za-z0-9+/=]{16})?"
+    r"(?:[\x20\t\r\n\\]+[A-Za-z0-9+/]{1,64}={1,2}|[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/]{1,64}(?:[\r\n]|$))?)"
+)
 RULES = (
     Rule("assign", rf"""(?:{_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 24, True),  # runs are maximal, so a shorter run is no match
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 20),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_BODY, 20),
     Rule("forge", r"gh[oprsu]_[A-Za-z0-9]+", 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
