@@ -23,6 +23,7 @@ EDITS = 5  # for a whole window; shorter items have a share of it
 #: Benchmark text indexed at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 1 << 20
 _EXPANDED = 2_000_000
+_ALIGNED = 20_000
 
 
 def normalised(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,56 +52,57 @@ def qgrams(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of one benchmark block and the postings of their q-grams."""
+    """The items of one benchmark block end to end, a window at every place, and the postings of their q-grams."""
 
-    items: np.ndarray  # item of each window
-    texts: np.ndarray  # windows x WINDOW bytes, padded with 1
-    lengths: np.ndarray
+    items: np.ndarray  # their ids
+    text: np.ndarray  # all of them, with WINDOW bytes of 1 after the last
+    start: np.ndarray  # of each item in the text
+    last: np.ndarray  # where the last window of each item starts
+    lengths: np.ndarray  # of the windows of each item
     edits: np.ndarray
     least: np.ndarray  # shared q-grams that the lemma asks for
     grams: np.ndarray  # sorted distinct q-grams
     first: np.ndarray  # offsets of their postings
-    window: np.ndarray
-    offset: np.ndarray
+    item: np.ndarray
+    place: np.ndarray  # in the text
     known: np.ndarray  # filter over hashed q-grams
     shift: int
 
 
 def build_index(rows: list[tuple[int, str]]) -> Index:
-    """Windows overlap by half, the last one ends with the item. Items under 8 bytes have none."""
+    """A window starts at every byte that has a whole one after it; a shorter item is one. Items under 8 bytes have none."""
     column = pa.array([t for _, t in rows], pa.string())
     text, bounds, _ = normalised(*buffers(column))
     items, parts = [], []
     for (item, _), a, b in zip(rows, bounds[:-1], bounds[1:], strict=True):
         whole = text[a:b].tobytes().strip()
-        last = max(0, len(whole) - WINDOW)
-        for at in sorted({*range(0, last + 1, WINDOW // 2), last}):
-            if len(whole) >= Q:
-                items.append(item)
-                parts.append(whole[at : at + WINDOW])
+        if len(whole) >= Q:
+            items.append(item)
+            parts.append(whole)
     n = len(parts)
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    start = np.cumsum(sizes) - sizes
+    lengths = np.minimum(sizes, WINDOW)
     edits = np.minimum(lengths * EDITS // WINDOW, np.maximum(0, (lengths - Q) // Q))
-    texts = np.full((n, WINDOW), 1, dtype=np.uint8)
-    for i, p in enumerate(parts):
-        texts[i, : len(p)] = np.frombuffer(p, np.uint8)
-    values = [qgrams(np.frombuffer(p, np.uint8)) for p in parts]
-    window = np.repeat(np.arange(n), [len(v) for v in values])
-    offset = np.concatenate([np.arange(len(v)) for v in values]) if n else np.empty(0, np.int64)
-    grams = np.concatenate(values) if n else np.empty(0, np.uint64)
+    flat = np.frombuffer(b"".join(parts) + bytes([1]) * WINDOW, np.uint8)
+    item = np.repeat(np.arange(n), sizes - Q + 1)
+    place = np.arange(len(item)) + item * (Q - 1)  # an item's last bytes start no q-gram
+    grams = qgrams(flat)[place]
     order = np.argsort(grams, kind="stable")
     distinct, first = np.unique(grams[order], return_index=True)
     bits = min(24, max(12, int(64 * max(1, len(distinct))).bit_length()))
     known = np.zeros(1 << bits, dtype=bool)
     known[(mix(distinct) >> np.uint64(64 - bits)).astype(np.int64)] = True
     return Index(
-        np.array(items, dtype=np.int64), texts, lengths, edits, lengths + 1 - Q - Q * edits,
-        distinct, np.append(first, len(grams)), window[order], offset[order], known, 64 - bits,
+        np.array(items, dtype=np.int64), flat, start, start + sizes - lengths, lengths, edits,
+        lengths + 1 - Q - Q * edits, distinct, np.append(first, len(grams)), item[order], place[order], known, 64 - bits,
     )
 
 
-def alignments(index: Index, text: np.ndarray, window: np.ndarray, base: np.ndarray, low: np.ndarray, high: np.ndarray, width: int):
-    """Least edits of each window against its band, and where in ``text`` the best match ends.
+def alignments(
+    index: Index, text: np.ndarray, window: np.ndarray, length: np.ndarray, base: np.ndarray, low: np.ndarray, high: np.ndarray, width: int
+):
+    """Least edits of the window of ``length`` at each place against its band, and where in ``text`` the best match ends.
 
     Row i, lane k of the band pairs the first i bytes of the window with the text up to
     ``base + i + k``; the text outside ``[low, high)`` matches nothing.
@@ -113,10 +115,10 @@ def alignments(index: Index, text: np.ndarray, window: np.ndarray, base: np.ndar
         at = base[:, None] + (i - 1) + lanes
         inside = (at >= low[:, None]) & (at < high[:, None])
         seen = np.where(inside, text[np.clip(at, 0, len(text) - 1)], 0)
-        step = cost + (seen != index.texts[window, i - 1][:, None])
+        step = cost + (seen != index.text[np.minimum(window + i, len(index.text)) - 1][:, None])
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
         cost = np.minimum.accumulate(step - lanes, axis=1) + lanes
-        done = index.lengths[window] == i
+        done = length == i
         if done.any():
             lane = cost[done].argmin(1)
             best[done] = cost[done, lane]
@@ -169,32 +171,45 @@ def matches(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, in
 
 
 def _count_bands(index, text, bounds, row, where, at, count, out) -> None:
-    """Shared q-grams per row, window and diagonal band; bands that reach the bound are aligned."""
+    """Shared q-grams per row, item and diagonal band; windows that reach the bound in one are aligned."""
     reps = np.repeat(np.arange(len(row)), count)
     within = np.arange(len(reps)) - np.repeat(np.cumsum(count) - count, count)
     posting = index.first[at][reps] + within
-    window, r = index.window[posting], row[reps]
-    diagonal = where[reps] - index.offset[posting] + WINDOW  # never negative
+    item, place, r = index.item[posting], index.place[posting], row[reps]
+    diagonal = where[reps] - (place - index.start[item]) + int((index.last + index.lengths - index.start).max())  # never negative
     step = int(index.edits.max()) + 1
     for half in (0, step):  # bands of two steps, each overlapping the next by one
         band = (diagonal + half) // (2 * step)
-        key = np.stack([r, window, band])
-        order = np.lexsort(key[::-1])
-        k = key[:, order]
-        new = np.concatenate([[True], (np.diff(k) != 0).any(0)]) if len(order) else np.empty(0, bool)
-        starts = np.flatnonzero(new)
-        size = np.diff(np.append(starts, len(order)))
-        good = starts[size >= np.maximum(1, index.least[k[1, starts]])]
-        if not len(good):
-            continue
-        rr, ww = k[0, good], k[1, good]
-        base = k[2, good] * 2 * step - half - WINDOW - step
-        best, ends = alignments(index, text, ww, base, bounds[rr], bounds[rr + 1], 4 * step)
-        for i in np.flatnonzero(best <= index.edits[ww]):
-            name = (int(rr[i]), int(index.items[ww[i]]))
-            start, end = int(ends[i] - index.lengths[ww[i]]), int(ends[i])
-            old = out.get(name, [start, end, 1 << 20, 0])
-            out[name] = [min(old[0], start), max(old[1], end), min(old[2], int(best[i])), old[3] + 1]
+        order = np.lexsort([place, band, item, r])
+        rr, ii, bb, pp = r[order], item[order], band[order], place[order]
+        n = len(order)
+        same = (rr[1:] == rr[:-1]) & (ii[1:] == ii[:-1]) & (bb[1:] == bb[:-1])
+        # A window whose first shared q-gram is this one starts after the one before, and holds enough of those that follow.
+        least = np.maximum(1, index.least[ii])
+        end = np.arange(n) + least - 1
+        group = np.concatenate([[0], np.cumsum(~same)]) if n else np.empty(0, np.int64)
+        held = end < n
+        end = np.minimum(end, n - 1)
+        held &= group[end] == group
+        from_ = np.maximum(index.start[ii], pp[end] - (index.lengths[ii] - Q))
+        from_[1:] = np.where(same, np.maximum(from_[1:], pp[:-1] + 1), from_[1:])
+        windows = np.where(held, np.minimum(pp, index.last[ii]) - from_ + 1, 0)
+        windows = np.maximum(windows, 0)
+        some = np.flatnonzero(windows)
+        total = np.concatenate([[0], np.cumsum(windows[some])])
+        for lo in range(0, int(total[-1]), _ALIGNED):  # a bounded number of windows at a time
+            number = np.arange(lo, min(lo + _ALIGNED, int(total[-1])))
+            k = np.searchsorted(total, number, side="right") - 1
+            hit = some[k]
+            window, own, length = from_[hit] + number - total[k], ii[hit], index.lengths[ii[hit]]
+            shift = window - index.start[own]
+            base = bb[hit] * 2 * step - half - int((index.last + index.lengths - index.start).max()) - step + shift
+            best, ends = alignments(index, text, window, length, base, bounds[rr[hit]], bounds[rr[hit] + 1], 4 * step)
+            for i in np.flatnonzero(best <= index.edits[own]):
+                name = (int(rr[hit[i]]), int(index.items[own[i]]))
+                begin, stop = int(ends[i] - length[i]), int(ends[i])
+                old = out.get(name, [begin, stop, 1 << 20, 0])
+                out[name] = [min(old[0], begin), max(old[1], stop), min(old[2], int(best[i])), old[3] + 1]
 
 
 def _scan(shared):
@@ -226,9 +241,9 @@ def _indexes(benchmark: DataFrame):
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, end, edits, bands`` for each document that holds part of an item.
 
-    A part is any window of 80 normalised bytes (the whole of a shorter item) within 5 edits (a share of
+    A part is any window of 80 normalised bytes, wherever it starts (the whole of a shorter item), within 5 edits (a share of
     it). ``start`` and ``end`` are code points of the text around all matched windows (the start is exact
-    up to the edit budget), ``edits`` the least edits of one, ``bands`` the diagonal bands that passed.
+    up to the edit budget), ``edits`` the least edits of one, ``bands`` how often a window passed in a diagonal band.
     Null and empty texts and items under 8 bytes match nothing; repeated rows give repeated results; a
     row without id is reported without id; no other column is read. Empty tables give no rows.
     """

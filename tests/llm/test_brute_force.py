@@ -169,6 +169,45 @@ def test_decontamination_equals_brute_force(spark):
     assert len(found) == len(expected)
 
 
+def test_passages_between_any_two_windows_are_found(spark):
+    rng = random.Random(19)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    whole = [prose(rng, n, letters) for n in (40, 60)]
+    items = list(enumerate(whole)) + [(2, prose(rng, 9, letters))]
+    docs, expected = [], set()
+    for item, body in enumerate(whole):
+        for start in range(0, len(body) - 110, 3):
+            part = list(body[start : start + rng.choice([70, 76, 80, 84, 90, 108])])
+            for _ in range(rng.choice([0, 0, 2, 4, 6])):
+                part[rng.randrange(len(part))] = rng.choice(["", "q", "zz"])
+            docs.append((len(docs), f"{prose(rng, 12, letters)} -- {''.join(part)}! {prose(rng, 12, letters)}"))
+    for d, text in docs:
+        for item, body in items:
+            size = min(len(body), decontaminate.WINDOW)
+            edits = min(size * decontaminate.EDITS // decontaminate.WINDOW, (size - 8) // 8)
+            own = plain(text)
+            if any(near_window(body[at : at + size], own, edits) for at in range(len(body) - size + 1)):
+                expected.add((d, item))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(frame, bench).collect()
+    assert 20 < len(expected) < len(docs)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted(expected)
+    left = {r["doc_id"] for r in decontaminate.decontaminated(frame, bench).collect()}
+    assert left == {d for d, _ in docs} - {d for d, _ in expected}
+
+
+def near_window(window, text, edits):
+    """Whether the text holds the window within so many edits; columns are numpy rows, so that all offsets can be tried."""
+    seen = np.frombuffer(text.encode(), np.uint8)
+    lanes = np.arange(len(seen) + 1)
+    row = np.zeros(len(seen) + 1, dtype=int)
+    for i, c in enumerate(window.encode(), 1):
+        new = np.concatenate([[i], np.minimum(row[:-1] + (seen != c), row[1:] + 1)])
+        row = np.minimum.accumulate(new - lanes) + lanes
+    return row.min() <= edits
+
+
 # --- secrets ---------------------------------------------------------------------------------------------
 
 
