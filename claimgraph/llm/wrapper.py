@@ -143,8 +143,8 @@ def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     return len(pairs), pairs
 
 
-def _aside(node: Node) -> bool:
-    """Whether a node's kind or name says that it is not the article."""
+def _kind_aside(node: Node) -> bool:
+    """Whether a node's kind, role or being hidden says that it is not the article."""
     if node.tag in _NEVER:
         return True
     names = node.names
@@ -152,19 +152,53 @@ def _aside(node: Node) -> bool:
         return False
     if names.get("role", "").lower() in _ROLES or names.get("aria-hidden", "").lower() == "true":
         return True
-    if "hidden" in names or "display:none" in names.get("style", "").replace(" ", "").lower():
-        return True
-    return node.tag not in ("html", "body", "article", "main") and bool(
+    return "hidden" in names or "display:none" in names.get("style", "").replace(" ", "").lower()
+
+
+def _name_aside(node: Node) -> bool:
+    """Whether a node's class or id hints that it is not the article."""
+    names = node.names
+    return bool(names) and node.tag not in ("html", "body", "article", "main") and bool(
         _SIDE.search(names.get("class", "")) or _SIDE.search(names.get("id", ""))
     )
 
 
-def _find(node: Node, wanted, out: list[Node]) -> list[Node]:
+def _layout(root: Node) -> set[int]:
+    """Boxes that a name hints to be asides, but that hold most of what their surroundings say.
+
+    Over half of the text with an article or a first heading, or nearly all of it, is the page itself
+    (``has-sidebar``), not a part at its side.
+    """
+    found: set[int] = set()
+
+    def walk(node: Node, whole: int) -> None:
+        for kid in node.kids:
+            if _kind_aside(kid):
+                continue
+            inner = whole
+            if _name_aside(kid):
+                size = len(text_of(kid, _kind_aside))
+                if 5 * size <= 4 * whole and not (
+                    2 * size > whole
+                    and _find(kid, lambda n: n.tag == "h1" or _is_article(n) or _is_main(n), [], _kind_aside)
+                ):
+                    continue
+                found.add(id(kid))
+                inner = size
+            elif kid.tag in ("article", "main"):
+                inner = len(text_of(kid, _kind_aside))
+            walk(kid, inner)
+
+    walk(root, len(text_of(root, _kind_aside)))
+    return found
+
+
+def _find(node: Node, wanted, out: list[Node], aside) -> list[Node]:
     for kid in node.kids:
-        if not _aside(kid):
+        if not aside(kid):
             if wanted(kid):
                 out.append(kid)
-            _find(kid, wanted, out)
+            _find(kid, wanted, out, aside)
     return out
 
 
@@ -185,12 +219,36 @@ def _linked(node: Node) -> int:
 
 
 def main_text(root: Node) -> str:
-    """The text of the article, without what names, kinds, marks as template or links tell apart from it."""
-    articles = _find(root, _is_article, [])
-    mains = _find(root, _is_main, [])
-    inside = articles or mains
-    sizes = [len(text_of(n, _aside)) for n in inside]
-    chosen = inside[sizes.index(max(sizes))] if inside and max(sizes) else None
+    """The text of the article, without what names, kinds, marks as template or links tell apart from it.
+
+    Names only hint: a box that is most of its surroundings is kept, an article inside a hinted box is taken where
+    there is no other and it says more than the rest, and a page with text outside asides by kind is never left empty.
+    """
+    layout = _layout(root)
+
+    def aside(node: Node) -> bool:
+        return _kind_aside(node) or (id(node) not in layout and _name_aside(node))
+
+    def largest(away) -> Node | None:
+        inside = _find(root, _is_article, [], away) or _find(root, _is_main, [], away)
+        sizes = [len(text_of(n, aside)) for n in inside]
+        return inside[sizes.index(max(sizes))] if inside and max(sizes) else None
+
+    plain = largest(aside)
+    text = _taken(root, plain, aside)
+    hinted = largest(_kind_aside) if plain is None else None
+    if hinted is not None:
+        other = _taken(root, hinted, aside)
+        if len(other) > len(text):
+            return other
+    if text:
+        return text
+    bodies = _find(root, lambda n: n.tag == "body", [], _kind_aside)
+    return text_of(bodies[0] if bodies else root, _kind_aside)
+
+
+def _taken(root: Node, chosen: Node | None, aside) -> str:
+    """The text of the chosen article, or of the body without one."""
     keep = set()
     up = chosen
     while up is not None:
@@ -202,11 +260,11 @@ def main_text(root: Node) -> str:
             return False
         if node.tag == "header":  # a page header goes; an article's keeps its headings
             if chosen is None:
-                return not any(k.tag in _HEADINGS for k in _find(node, lambda n: True, []))
+                return not any(k.tag in _HEADINGS for k in _find(node, lambda n: True, [], aside))
             return False
         if node.up is not None and node.up.tag == "header" and node.tag not in _HEADINGS and node.tag not in ("div", "header"):
             return True
-        if node.mark or _aside(node):
+        if node.mark or aside(node):
             return True
         if chosen is None and node.tag in ("ul", "ol", "div", "p", "table", "section", "dl"):
             size = len(text_of(node))
@@ -214,11 +272,10 @@ def main_text(root: Node) -> str:
         return False
 
     if chosen is not None:
-        text = text_of(chosen, skip)
-        return text or text_of(chosen, _aside)
-    bodies = _find(root, lambda n: n.tag == "body", [])
+        return text_of(chosen, skip) or text_of(chosen, aside)
+    bodies = _find(root, lambda n: n.tag == "body", [], aside)
     body = bodies[0] if bodies else root
-    return text_of(body, skip) or text_of(body, _aside)
+    return text_of(body, skip) or text_of(body, aside)
 
 
 def _top(root: Node) -> Slot:

@@ -453,6 +453,29 @@ def test_main_text_of_named_parts(box):
     assert text == "Head & 7 First par7a Second part é7"
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-nav", "post-legal", "share"])
+@pytest.mark.parametrize("box", ["article", "main", "div"])
+def test_names_that_only_hint_lose_no_article(name, box):
+    for more in ("", "<p>Contact us at the desk downstairs</p>"):
+        page = (
+            f'<body><nav>Home About</nav>{more}<div class="{name}"><{box}><h1>Head</h1><p>First of many words here</p>'
+            f'<p>Second paragraph of the story, longer yet and on its way to the end</p></{box}>'
+            '<div class="sidebar">Tags</div></div><footer>Site</footer></body>'
+        )
+        text = wrapper.main_text(dom.parse(page))
+        article = "Head First of many words here Second paragraph of the story, longer yet and on its way to the end"
+        assert text == article if box != "div" or not more else article in text
+    # A short article in a hinted box, beside a larger part that is no article by its kind.
+    page = f'<body><div class="{name}"><{box}>A short story</{box}></div><aside>{"More of it " * 30}</aside></body>'
+    assert wrapper.main_text(dom.parse(page)) == "A short story"
+
+
+def test_parts_at_the_side_still_go():
+    story = "<p>" + "a long story told in full " * 9 + "</p>"
+    for side in ('<div class="related"><article>Teaser</article></div>', '<div id="comments"><p>I liked it</p></div>'):
+        assert wrapper.main_text(dom.parse(f"<body><div>{story}</div>{side}</body>")) == ("a long story told in full " * 9).strip()
+
+
 def test_template_nodes_go_and_varying_slots_stay(spark):
     page = (
         "<html><body><div>Welcome to our friendly pages</div><div>About us and where to find us</div>"
