@@ -144,16 +144,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     """Learn from labelled documents that are not held out; rows with a null label or id teach nothing.
 
     Documents are drawn by a hash of their id, about ``sample`` of each class, and only their term sets reach the driver.
+    Scores mean the same whatever share of each class is drawn.
     """
     known = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rates = {label: min(1.0, most / sizes[label]) for label, most in sample.items() if sizes.get(label)}
     share = F.lit(0.0)
-    for label, most in sample.items():
-        if sizes.get(label):
-            share = F.when(F.col("toxic") == label, min(1.0, most / sizes[label])).otherwise(share)
+    for label, rate in rates.items():
+        share = F.when(F.col("toxic") == label, rate).otherwise(share)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20))
 
     def described(stream):
@@ -176,7 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         .mapInArrow(described, "doc_id long, toxic int, terms array<int>")
         .toPandas().sort_values("doc_id", kind="stable")
     )
-    return fit([np.asarray(t, dtype=np.int64) for t in rows["terms"]], rows["toxic"].to_numpy(dtype=float))
+    machine = fit([np.asarray(t, dtype=np.int64) for t in rows["terms"]], rows["toxic"].to_numpy(dtype=float))
+    # The classes are drawn at their own rates; the log odds are brought back to those of all labelled documents.
+    machine.bias += float(np.log(rates.get(0, 1.0) / rates.get(1, 1.0)))
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -545,6 +545,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert len(held) > 200 and np.mean(right) > 0.97
 
 
+def test_scores_mean_the_same_when_a_class_is_sampled(spark):
+    rng = random.Random(20)
+    docs = [(i, " ".join(rng.choice(["red", "blue", "green"]) for _ in range(8))) for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    for sample in ({1: 4000, 0: 8000}, {1: 4000, 0: 200}, {1: 60, 0: 300}):
+        scores = [r["score"] for r in toxicity.score(frame, toxicity.train(frame, labels, sample)).collect()]
+        assert 0.06 < np.mean(scores) < 0.16, sample
+
+
 # --- quality ---------------------------------------------------------------------------------------------
 
 
