@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import chat, decontaminate, fertility, language, mixing, near, pii, secrets, toxicity, wrapper
+from claimgraph.llm import (
+    chat,
+    decontaminate,
+    fertility,
+    importance,
+    language,
+    mixing,
+    near,
+    pii,
+    ranked,
+    secrets,
+    suffixes,
+    toxicity,
+    wrapper,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +133,21 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents, by patterns and by the model learned from a sample of them."""
     docs = table(spark, folder, "documents")
     return pii.personal_data(docs, pii.train(docs))
+
+
+@query("op11_importance_resampling", importance.oracle())
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the features of the benchmark; all documents are listed."""
+    return importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_suffix_dedup", suffixes.ORACLE)
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of documents before it."""
+    return suffixes.without_repeats(table(spark, folder, "documents"), keep_text=False).drop("kept")
+
+
+@query("op13_ranked_search", ranked.ORACLE)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
