@@ -314,15 +314,15 @@ def test_letters_from_xml(spark, tmp_path):
     rows = read_letters(spark, str(path)).cache()
     raw = {r["key"]: json.loads(r["raw"]) for r in rows.collect()}
     assert raw["A1"]["sent"] == {
-        "gnd": "11", "name": "Eva  Ring", "place_ref": "https://example.org/p", "place_name": "Ulm", "when": "1600-05",
+        "gnd": "11", "name": "Eva  Ring", "place_ref": "https://example.org/p", "place_name": "Ulm", "when": "1741-05",
     }
     assert raw["A2"]["received"] == {"gnd": None, "name": "Nobody"} and raw["A2"]["edition"] is None
     entities, claims, counters = letters.transform(rows)
     assert entities.count() == 5
     tie = claims.where("predicate = 'corresponded-with'").collect()
-    assert len(tie) == 1 and str(tie[0]["valid_time"]["end_latest"]) == "1600-05-28"
+    assert len(tie) == 1 and str(tie[0]["valid_time"]["end_latest"]) == "1741-05-28"
     labels = {r[0] for r in claims.where("subject.authority = 'correspsearch'").select("object_literal.value").collect()}
-    assert labels == {"Letter: Eva Ring → Jon Dale (1600-05)", "Letter: Kit → Nobody"}
+    assert labels == {"Letter: Eva Ring → Jon Dale (1741-05)", "Letter: Kit → Nobody"}
     assert {r["counter"]: r["n"] for r in counters.collect()}["letter_missing_receiver_gnd"] == 1
 
 

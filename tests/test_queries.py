@@ -26,7 +26,7 @@ CHOSEN = [
     "i07_import_entities", "i15_import_report",
     "x01_as_of", "x02_canonical_ids", "x04b_block_pairs", "x08b_monotone_map",
     "p08_refresh_entities", "t01_projection", "a05_supersede", "i06_split_rejects", "i09_version_records",
-    "r08_ranked_ties", "r14_list_claims", "s06_content_hash", "s08_manifest", "x06_split_candidates", "x07_er_quality",
+    "r08_ranked_ties", "s06_content_hash", "s08_manifest", "x06_split_candidates", "x07_er_quality",
 ]
 
 
