@@ -11,7 +11,7 @@ from claimgraph.llm.queries import ORACLES, QUERIES
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = {
     "op1": "pages", "op3": "documents", "op5": "documents", "op6": "documents", "op7": "documents", "op9": "documents",
-    "op10": "documents",
+    "op10": "documents", "op11": "documents", "op12": "documents",
 }
 
 
@@ -25,7 +25,7 @@ def sql():
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
