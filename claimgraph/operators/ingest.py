@@ -34,6 +34,8 @@ IDENTITY = [
     "end_latest",
     "confidence_point",
 ]
+# Parts of a stored table. A store keeps the number it was written with.
+STORE_BUCKETS = 64
 REPORT = ("received", "inserted", "duplicates", "superseded", "rejected")
 
 
@@ -47,6 +49,22 @@ def line_id(batch_no: int, line: Column) -> Column:
     ).otherwise(F.raise_error(F.lit("line_no is outside [0, 2**40); number the lines densely")).cast("long"))
 
 
+def key_bucket(*names: str) -> Column:
+    """The part of a stored table that holds a key."""
+    return F.pmod(F.xxhash64(*names), F.lit(STORE_BUCKETS)).cast("int")
+
+
+def opened(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """The parts of a stored table that can hold the keys (one row each, in the order of the table's layout).
+
+    A table that is laid out by key has a column ``bucket``, which the scan is cut by; another is read whole.
+    """
+    if "bucket" not in stored.columns:
+        return stored
+    rows = keys.select(key_bucket(*keys.columns).alias("bucket")).distinct().collect()  # STORE_BUCKETS at most
+    return stored.where(F.col("bucket").isin([r["bucket"] for r in rows])).drop("bucket")
+
+
 def accept_in_order(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """``line_no`` of the rows accepted when keys are granted in line order.
 
@@ -141,6 +159,10 @@ def classify_lines(lines: DataFrame, relation_types: DataFrame, anchors: DataFra
     ``lines``: ``line_no`` (order in the batch, blank lines not counted) and ``line``.
     """
     parsed = parse_claims(validate_claims(lines))
+    if "bucket" in anchors.columns:
+        parsed = materialise(parsed, "parsed-lines")
+        refs = F.array(*[F.struct(F.col(f"{n}_authority").alias("authority"), F.col(f"{n}_key").alias("external_id")) for n in ("subject", "object")])
+        anchors = opened(anchors, parsed.select(F.inline(refs)))
     resolved = resolve_refs(check_predicate(parsed, relation_types), anchors)
     return resolved.withColumn("reason", F.coalesce(schema_reason(), reject_reason())).drop(
         "errors", "known_predicate"
@@ -232,6 +254,7 @@ def version_records(
     place = ["source_record_id", "line_no", "position"]
     winners = rows.groupBy("source_record_id").agg(F.min(order).alias("_w")).select("source_record_id", "_w.*")
     firsts = rows.join(winners, place).select(*place, *RECORD_KEY, "content_hash", "raw", "arrival")
+    existing = opened(existing, rows.select(*RECORD_KEY))
     held = existing.select("source_record_id", *RECORD_KEY, "arrival").join(
         rows.select(*RECORD_KEY).distinct(), RECORD_KEY, "left_semi"
     )
@@ -264,6 +287,11 @@ def version_records(
     return records.drop("line_no", "position"), outcomes
 
 
+def stored_identities(claim: DataFrame, support: DataFrame) -> DataFrame:
+    """``claim_id``, what makes it the same claim, and each record it rests on."""
+    return claim.select("claim_id", *IDENTITY).join(support.select("claim_id", "source_record_id"), "claim_id")
+
+
 def dedupe_claims(
     claims: DataFrame, outcomes: DataFrame, claim: DataFrame, support: DataFrame
 ) -> DataFrame:
@@ -272,14 +300,18 @@ def dedupe_claims(
     A claim repeats another when it agrees on :data:`IDENTITY` and its primary record
     supports that other claim. The inner pair of bounds is not compared.
     """
+    primary = outcomes.where(F.col("position") == 0).select("source_record_id").distinct()
+    # Only stored claims that rest on a record of the batch can be repeated.
+    touching = support.join(primary, "source_record_id", "left_semi")
+    return dedupe_by_identity(claims, outcomes, stored_identities(claim, touching))
+
+
+def dedupe_by_identity(claims: DataFrame, outcomes: DataFrame, identities: DataFrame) -> DataFrame:
+    """:func:`dedupe_claims` on the store's table of identities, of which only the parts that the batch names are read."""
     key = IDENTITY + ["source_record_id"]
     primary = outcomes.where(F.col("position") == 0).select("line_no", "source_record_id")
     keyed = claims.join(primary, "line_no")
-    # Only stored claims that rest on a record of the batch can be repeated.
-    touching = support.select("claim_id", "source_record_id").join(
-        primary.select("source_record_id").distinct(), "source_record_id", "left_semi"
-    )
-    stored = claim.select("claim_id", *IDENTITY).join(touching, "claim_id")
+    stored = opened(identities, primary.select("source_record_id"))
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
     fresh = keyed.alias("n").join(stored.alias("s"), same, "left_anti")
     wanted = fresh.groupBy(*key).agg(F.min("line_no").alias("line_no"))
@@ -353,8 +385,9 @@ class Store:
     anchors: DataFrame
     sources: DataFrame
     records: DataFrame
-    claims: DataFrame
-    support: DataFrame
+    claims: DataFrame | None = None
+    support: DataFrame | None = None
+    identities: DataFrame | None = None  # instead of claims and support
 
 
 def import_claims(
@@ -378,9 +411,12 @@ def import_claims(
     support = support_rows(good)
     records, outcomes = version_records(support, store.records, batch_no)
     records, outcomes = materialise(records, "records"), materialise(outcomes, "outcomes")
-    accepted = (
-        dedupe_claims(good, outcomes, store.claims, store.support) if check_duplicates else good
-    )
+    if not check_duplicates:
+        accepted = good
+    elif store.identities is not None:
+        accepted = dedupe_by_identity(good, outcomes, store.identities)
+    else:
+        accepted = dedupe_claims(good, outcomes, store.claims, store.support)
     accepted = materialise(accepted, "accepted")
     claims = append_claims(accepted, batch_no, agent_id, run_id, recorded_at)
     return {

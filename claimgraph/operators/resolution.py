@@ -279,7 +279,10 @@ def entity_links(
         {"similarity": F.lit(1.0), "born_gap": F.lit(0), "died_gap": F.lit(None).cast("int")}
     ))
     of_one = split_candidates(inside, low, low)[0]
-    return same_as.unionByName(of_one).dropDuplicates(["subject_entity_id", "object_entity_id"]), queue
+    # A pair found both ways is one link, by its better score.
+    both = same_as.unionByName(of_one)
+    keys = [c for c in both.columns if c != "confidence_point"]
+    return both.groupBy(*keys).agg(F.max("confidence_point").alias("confidence_point")), queue
 
 
 def er_quality(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("columns", "reads", "models", "ingestion", "specified")
+MODULES = ("columns", "reads", "models", "ingestion", "publishing", "specified")
 
 
 def all_queries():

@@ -681,11 +681,8 @@ def _(c: Corpus) -> DataFrame:
 
 
 # Import --------------------------------------------------------------------------------
-def wire_rows(c: Corpus) -> DataFrame:
-    """Order lines as interchange lines; the quantity decides the defect, if any.
-
-    Lines of returned goods are sent a second time at the end of the batch.
-    """
+def tie_lines(ties: DataFrame) -> DataFrame:
+    """``claim_id, line, predicate``: order lines as interchange lines; the quantity decides the defect, if any."""
     q = F.col("quantity")
 
     def ref(authority: str, key: Column) -> Column:
@@ -754,7 +751,12 @@ def wire_rows(c: Corpus) -> DataFrame:
     )
     line = F.when(q == 18, F.regexp_replace(line, '"subject":\\{', '"subject":{"more":1,')).otherwise(line)
     line = F.when(q == 8, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
-    rows = c.ties.select("claim_id", line.alias("line"), "predicate", F.lit(0).alias("turn"))
+    return ties.select("claim_id", line.alias("line"), "predicate")
+
+
+def wire_rows(c: Corpus) -> DataFrame:
+    """A batch of all order lines; those of returned goods are sent a second time at its end."""
+    rows = tie_lines(c.ties).withColumn("turn", F.lit(0))
     again = rows.where(F.col("predicate") == "corresponded-with").withColumn("turn", F.lit(1))
     # Lines arrive as files, so they are written once before anything reads them.
     return numbered(rows.unionByName(again).select("turn", "claim_id", "line"), "turn", "claim_id").drop("turn")

@@ -80,8 +80,8 @@ def _array(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
-def claim_lines(claims: DataFrame) -> DataFrame:
-    """``line`` per interchange claim. Bounds keep their nulls, absent parts are left out."""
+def claim_lines(claims: DataFrame, *keep: str) -> DataFrame:
+    """``line`` per interchange claim. Bounds keep their nulls, absent parts are left out; columns to ``keep`` stay."""
     line = json_object(
         member("asserted_by", F.col("asserted_by")),
         raw_member("confidence", _confidence(F.col("confidence"))),
@@ -100,7 +100,7 @@ def claim_lines(claims: DataFrame) -> DataFrame:
         raw_member("support", _array(F.transform("support", _support))),
         raw_member("valid_time", _valid_time(F.col("valid_time"))),
     )
-    return claims.select(line.alias("line"))
+    return claims.select(*keep, line.alias("line"))
 
 
 def entity_lines(entities: DataFrame) -> DataFrame:
