@@ -92,6 +92,28 @@ def current_status(events: DataFrame) -> DataFrame:
     )
 
 
+def fold_state(events: DataFrame) -> DataFrame:
+    """``claim_id`` and what its events leave: the last of each status-bearing kind and the last manual point.
+
+    States of parts of a log merge to the state of the whole, in any order and with overlaps.
+    """
+    point = F.get_json_object("payload", "$.point").try_cast("double")
+    adjusted = (F.col("event_type") == "adjust_confidence") & point.isNotNull()
+    manual = F.max(F.when(adjusted, F.struct("occurred_at", "id", point.alias("point"))))
+    return events.groupBy("claim_id").agg(*[c.alias(n) for n, c in fold_accumulators().items()], manual.alias("last_manual"))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per claim from any number of them."""
+    names = [*fold_accumulators(), "last_manual"]
+    return states.groupBy("claim_id").agg(*[F.max(n).alias(n) for n in names])
+
+
+def read_state(states: DataFrame) -> DataFrame:
+    """``claim_id, status, manual_point`` of states."""
+    return states.select("claim_id", status_of_fold().alias("status"), F.col("last_manual.point").alias("manual_point"))
+
+
 def manual_points(events: DataFrame) -> DataFrame:
     """The latest manual confidence of each adjusted claim."""
     point = F.get_json_object("payload", "$.point").try_cast("double")

@@ -18,11 +18,13 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _RECORD = (
     "number int, run_id string, parent int, "
-    "tables array<struct<name: string, folder: string, rows: bigint, columns: string, replaces: boolean>>"
+    "tables array<struct<name: string, folder: string, rows: bigint, columns: string, replaces: boolean, "
+    "low: string, high: string>>"
 )
 
 
@@ -72,12 +74,14 @@ class RunLog:
         return next((c for c in self.commits() if c.run_id == run_id), None)
 
     def table(
-        self, name: str, at: int | None = None, since: int = 0, schema: StructType | str | None = None
+        self, name: str, at: int | None = None, since: int = 0, schema: StructType | str | None = None,
+        within: tuple[str | None, str | None] = (None, None),
     ) -> DataFrame:
         """Rows of a table as of commit ``at`` (the last one), of commits after ``since`` only.
 
         A commit that replaces the table ends what stood before it. A table nobody has written is empty if
-        ``schema`` is given.
+        ``schema`` is given. ``within`` leaves out commits whose rows, by the table's span column, all lie outside
+        the two ends; rows of the others still need the filter.
         """
         folders, columns = [], None
         for commit in self.commits(at):
@@ -87,7 +91,9 @@ class RunLog:
                 columns = t["columns"]
                 if t["replaces"]:
                     folders = []
-                if t["folder"] and commit.number > since:
+                low, high = within
+                apart = t["low"] is not None and ((low and t["high"] < low) or (high and t["low"] > high))
+                if t["folder"] and commit.number > since and not apart:
                     folders.append(f"{self.path}/{t['folder']}")
         if columns is None and schema is None:
             raise KeyError(f"no committed run has written {name}")
@@ -106,9 +112,12 @@ class RunLog:
     # Writing ---------------------------------------------------------------
     def stage(
         self, run_id: str, tables: dict[str, DataFrame], parts: dict[str, str] | None = None,
-        replaces: tuple[str, ...] = (),
+        replaces: tuple[str, ...] = (), spans: dict[str, str] | None = None,
     ) -> list[dict]:
-        """Write the tables of a run, unseen. ``parts`` names the column that a table's files are laid out by."""
+        """Write the tables of a run, unseen. ``parts`` names the column that a table's files are laid out by.
+
+        ``spans`` names a column (text, date or time) whose least and greatest value the commit remembers.
+        """
         if not re.fullmatch(r"[\w.-]+", run_id):
             raise ValueError("a run id holds letters, digits, '.', '_' and '-'")
         nonce, out = uuid.uuid4().hex, []
@@ -122,10 +131,14 @@ class RunLog:
             else:
                 df.write.parquet(target)
                 columns = df.schema
-            rows = self.spark.read.schema(columns).parquet(target).count()  # from the files' footers
+            written = self.spark.read.schema(columns).parquet(target)
+            rows, low, high = written.count(), None, None  # the count is that of the files' footers
+            if rows and name in (spans or {}):
+                ends = F.min(spans[name]).cast("string"), F.max(spans[name]).cast("string")
+                low, high = written.agg(*ends).first()
             out.append({
                 "name": name, "folder": folder if rows else None, "rows": rows,
-                "columns": json.dumps(columns.jsonValue()), "replaces": name in replaces,
+                "columns": json.dumps(columns.jsonValue()), "replaces": name in replaces, "low": low, "high": high,
             })
         return out
 
@@ -153,7 +166,7 @@ class RunLog:
 
     def publish(
         self, run_id: str, build: Callable[[int], dict[str, DataFrame]], parts: dict[str, str] | None = None,
-        replaces: tuple[str, ...] = (), attempts: int = 5,
+        replaces: tuple[str, ...] = (), spans: dict[str, str] | None = None, attempts: int = 5,
     ) -> Commit:
         """Run ``build`` on the last commit and commit its tables; a run already committed is not run again.
 
@@ -165,15 +178,16 @@ class RunLog:
             if done is not None:
                 return done
             parent = self.head()
-            staged = self.stage(run_id, build(parent), parts, replaces)
+            staged = self.stage(run_id, build(parent), parts, replaces, spans)
             try:
                 return self.commit(run_id, staged, parent)
             except Conflict:
                 continue
         raise Conflict(f"{run_id} lost to other runs {attempts} times")
 
-    def compact(self, run_id: str, names: tuple[str, ...], parts: dict[str, str] | None = None) -> Commit:
+    def compact(
+        self, run_id: str, names: tuple[str, ...], parts: dict[str, str] | None = None,
+        spans: dict[str, str] | None = None,
+    ) -> Commit:
         """Rewrite tables of many runs as one; what reads see stays the same."""
-        return self.publish(
-            run_id, lambda at: {n: self.table(n, at) for n in names}, parts, replaces=names
-        )
+        return self.publish(run_id, lambda at: {n: self.table(n, at) for n in names}, parts, names, spans)
