@@ -4,8 +4,9 @@ Suffixes are told apart to a depth of ``DEPTH`` bytes and no further: two suffix
 the same window. As in a most-significant-digit radix sort, each pass deals the suffixes of the open groups
 by one more digit, and a group that lies within one document closes; a unique suffix costs one pass.
 
-* First digit: the window's own least 16-gram, wherever in the window it stands. Neighbouring suffixes share it,
-  so one row stands for a run of some 18 suffixes, and equal windows have equal rows' digits.
+* First digit: a 28-gram that the window picks by its own bytes (mod-minimizer sampling), wherever in the window it
+  stands. Neighbouring suffixes pick the same one, so one row stands for a run of some 15 suffixes, and equal windows
+  have equal digits.
 * Second digit: all bytes that the run's windows cover. Runs equal in it are one class; all but those of its
   first document are repeated whole, so thousands of copies need no further pass.
 * Third digit: the single windows, of one run per class and only where a first digit has several classes.
@@ -17,16 +18,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.llm.scratch import Scratch
 from claimgraph.llm.words import buffers, chunks, range_hashes
 
 DEPTH = 50
-GRAM = 16
+GRAM = 28
+PICK = 4  # least length of the short grams whose order decides
 SEGMENT = 1 << 19  # windows whose digits a worker works out at once; also the room for a place in a key
-_PLACE = np.uint64(SEGMENT * 2 - 1)
+CROWD = 50_000  # contexts of one gram that meet in one task, of some 30 windows of 40 bytes
+_PLACE = np.uint32(SEGMENT * 2 - 1)
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -39,23 +42,44 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return keys
 
 
+def _mixed(data: np.ndarray, size: int) -> np.ndarray:
+    """32 bits of every ``size`` bytes in a row, in no telling order."""
+    n = len(data) - size + 1
+    out = np.zeros(n, dtype=np.uint32)
+    for k in range(size):
+        out = (out ^ data[k : k + n]) * np.uint32(0x9E3779B1)
+        out ^= out >> np.uint32(15)
+    return out
+
+
 def runs(data: np.ndarray, bounds: np.ndarray, depth: int):
-    """Runs of windows with one least gram: ``row, start, count, gram, context`` arrays, a segment at a time.
+    """Runs of windows that pick one gram: ``row, start, count, gram, context`` arrays, a segment at a time.
 
     ``start`` counts from the beginning of the row's text. A window and its gram depend on its bytes alone,
-    so equal windows anywhere belong to runs of equal ``gram``. Segments bound the memory; a run that a
-    segment cuts is two runs.
+    so equal windows anywhere belong to runs of equal ``gram``. The least short gram of a window stands at some place
+    in it; the gram picked is at that place modulo the number of grams, so neighbours seldom pick different ones.
+    Segments bound the memory; a run that a segment cuts is two runs.
     """
-    gram = min(GRAM, depth)
-    # Windows that end within their text: the last ``depth - 1`` starts of every text do not count.
+    grams = depth - GRAM + 1
+    short = PICK + (GRAM - PICK) % grams
+    if not len(data):
+        return
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    # Starts of windows that end within their text: the last ``depth - 1`` starts of every text do not count.
+    inside = np.ones(len(data), dtype=bool)
+    for back in range(1, depth):
+        ends = bounds[1:] - back
+        inside[ends[ends >= bounds[:-1]]] = False
+    # What a place of the short gram in the window means for that of the gram.
+    turned = np.arange(depth - short + 1, dtype=np.int32) % grams
     for a in range(0, len(data) - depth + 1, SEGMENT):
         part = data[a : a + SEGMENT + depth - 1]
         n = len(part) - depth + 1
-        at = np.arange(len(part) - gram + 1)
-        hashes = range_hashes(part, at, at + gram)
-        place = _least((hashes & ~_PLACE) | at.astype(np.uint64), depth - gram + 1)[:n] & _PLACE
-        row = np.searchsorted(bounds, np.arange(a, a + n), side="right") - 1
-        whole = np.arange(a, a + n) + depth <= bounds[row + 1]
+        begin = np.arange(n, dtype=np.int32)
+        key = (_mixed(part, short) & ~_PLACE) | np.arange(len(part) - short + 1, dtype=np.uint32)
+        place = (_least(key, depth - short + 1) & _PLACE).astype(np.int32)
+        place = begin + turned[place - begin]
+        row, whole = of[a : a + n], inside[a : a + n]
         new = np.ones(n, dtype=bool)
         new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new & whole)
@@ -64,8 +88,9 @@ def runs(data: np.ndarray, bounds: np.ndarray, depth: int):
         # A run ends where the next begins or its text has no whole window left.
         stop = np.flatnonzero(np.append(new[1:] | ~whole[1:], True)) + 1
         last = stop[np.searchsorted(stop, first, side="right")]
-        context = range_hashes(part, first, last + depth - 1)
-        yield row[first], first + a - bounds[row[first]], last - first, hashes[place[first].astype(np.int64)], context
+        at = place[first].astype(np.int64)
+        gram, context = range_hashes(part, at, at + GRAM), range_hashes(part, first, last + depth - 1)
+        yield row[first], first + a - bounds[row[first]], last - first, gram, context
 
 
 def _digits(depth: int, whole: bool):
@@ -92,8 +117,8 @@ def _digits(depth: int, whole: bool):
     return batches
 
 
-def _windows(depth: int):
-    """The single windows of the listed runs of a text: third digits."""
+def _contexts(depth: int):
+    """The bytes of the listed runs of a text."""
 
     def batches(stream):
         for batch in stream:
@@ -104,23 +129,19 @@ def _windows(depth: int):
                 flat = listed.flatten()
                 row = np.repeat(np.arange(len(rows)), np.diff(np.asarray(listed.offsets)))
                 start = np.asarray(flat.field("start")) + bounds[row]
-                for low in range(0, len(data), SEGMENT):
-                    here = np.flatnonzero((start >= low) & (start < low + SEGMENT))
-                    if not len(here):
-                        continue
-                    count = np.asarray(flat.field("count"))[here].astype(np.int64)
-                    of = np.repeat(here, count)
-                    offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-                    at = start[of] + offset - low
-                    part = data[low : low + int(at.max()) + depth]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            flat.field("gram").take(pa.array(of)), flat.field("context").take(pa.array(of)),
-                            rows["doc_id"].take(pa.array(row[of])), pa.array(offset.astype(np.int32)),
-                            pa.array(range_hashes(part, at, at + depth).view(np.int64)),
-                        ],
-                        ["gram", "context", "doc_id", "offset", "window"],
-                    )
+                size = np.asarray(flat.field("count")).astype(np.int64) + depth - 1
+                ends = np.append(0, np.cumsum(size))
+                at = np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)
+                covered = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[at])]
+                ).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        flat.field("gram"), flat.field("context"), rows["doc_id"].take(pa.array(row)),
+                        flat.field("count"), flat.field("crowded"), covered,
+                    ],
+                    ["gram", "context", "doc_id", "count", "crowded", "covered"],
+                )
 
     return batches
 
@@ -207,34 +228,59 @@ def repeated_windows(docs: DataFrame, depth: int, scratch: Scratch) -> DataFrame
     open_runs = scratch.write(
         named.mapInArrow(
             _digits(depth, True), "gram long, context long, doc_id long, part int, start long, count int"
-        ).join(shared, "gram"),
+        ).join(shared.hint("shuffle_hash"), "gram"),  # the grams are hashed, so the many rows need no sort
         "open-runs",
     )
+    scratch.drop("shared")
+    # The first document of each class, and one place where it stands in it. Both follow the same order, so they
+    # are of one row.
+    place = F.shiftleft("start", 7).bitwiseOR(F.col("count").cast("long"))
     classes = scratch.write(
-        open_runs.groupBy("gram", "context").agg(F.min("doc_id").alias("head")),
+        open_runs.groupBy("gram", "context").agg(
+            F.min("doc_id").alias("head"), F.min_by("part", "doc_id").alias("part"), F.min_by(place, "doc_id").alias("place")
+        ),
         "classes",
     )
-    several = classes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    several = (
+        classes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+        .select("gram", (F.col("n") > CROWD).alias("crowded"))
+    )
     # One run for each class that is still open, in its first document.
+    run = F.struct(
+        "gram", "context", F.shiftright("place", 7).alias("start"),
+        F.col("place").bitwiseAND(F.lit(127)).cast("int").alias("count"), "crowded",
+    )
     heads = (
-        open_runs.join(classes.select("gram", "context", "head"), ["gram", "context"])
-        .where("doc_id = head").join(several, "gram")
-        .groupBy("gram", "context", "doc_id").agg(F.min(F.struct("part", "start", "count")).alias("at"))
-        .groupBy("doc_id", F.col("at.part").alias("part"))
-        .agg(F.collect_list(F.struct("gram", "context", F.col("at.start").alias("start"), F.col("at.count").alias("count"))).alias("listed"))
+        classes.join(several, "gram").groupBy(F.col("head").alias("doc_id"), "part").agg(F.collect_list(run).alias("listed"))
     )
-    singles = scratch.write(
+    covered = scratch.write(
         named.join(heads, ["doc_id", "part"]).select("doc_id", "text", "listed")
-        .mapInArrow(_windows(depth), "gram long, context long, doc_id long, offset int, window long"),
-        "windows",
+        .mapInArrow(_contexts(depth), "gram long, context long, doc_id long, count int, crowded boolean, covered binary"),
+        "heads",
     )
-    least = singles.groupBy("gram", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+
+    def singles(rows: DataFrame) -> DataFrame:
+        offset = rows.select("gram", "context", "doc_id", "covered", F.explode(F.expr("sequence(0, count - 1)")).alias("offset"))
+        window = F.xxhash64(F.substring("covered", F.col("offset") + 1, F.lit(depth)))
+        return offset.select("gram", "context", "doc_id", "offset", window.alias("window"))
+
+    # The few runs of a usual gram meet in one task, where their windows are told apart without another shuffle;
+    # those of a gram with a crowd of contexts are dealt by window, summed before they are.
+    usual = singles(covered.where("NOT crowded").repartition("gram")).withColumn(
+        "least", F.min("doc_id").over(Window.partitionBy("gram", "window"))
+    )
+    crowd = singles(covered.where("crowded"))
+    first = crowd.groupBy("gram", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    crowd = crowd.join(first.where("least < most").drop("most"), ["gram", "window"])
+    bits = F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask")
     masks = (
-        singles.join(least, ["gram", "window"]).where("least < doc_id")
-        .groupBy("gram", "context")
-        .agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
+        usual.where("least < doc_id").groupBy("gram", "context").agg(bits)
+        .unionByName(crowd.where("least < doc_id").groupBy("gram", "context").agg(bits))
+    )
+    marked = scratch.write(
+        classes.select("gram", "context", "head").join(masks, ["gram", "context"], "left"), "marked"
     )
-    marked = classes.select("gram", "context", "head").join(masks, ["gram", "context"], "left")
+    scratch.drop("classes", "heads")
     found = (
         open_runs.join(marked, ["gram", "context"])
         .select(
@@ -244,7 +290,7 @@ def repeated_windows(docs: DataFrame, depth: int, scratch: Scratch) -> DataFrame
         .where("mask <> 0")
     )
     out = scratch.write(found, "repeated")
-    scratch.drop("shared", "open-runs", "classes", "windows")
+    scratch.drop("open-runs", "marked")
     return out
 
 
@@ -256,10 +302,10 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = True)
     ignored. Texts are UTF-8 bytes, so ``kept`` is binary (null without ``keep_text``). Null and empty texts
     have no bytes, texts shorter than ``depth`` lose none. Rows of one id take nothing from each other. A row
     without an id loses nothing and takes nothing. Repeated rows get equal results, an empty table none.
-    ``depth`` is from 16 to 78, so that a run's windows fit the mask.
+    ``depth`` is from 28 to 90, so that a run's windows fit the mask.
     """
     if not GRAM <= depth < GRAM + 63:
-        raise ValueError("the depth must be from 16 to 78 bytes")
+        raise ValueError("the depth must be from 28 to 90 bytes")
     scratch = Scratch(docs.sparkSession, "suffixes")
     numbered = _numbered(docs)
     gone = repeated_windows(numbered, depth, scratch).groupBy("doc_id", "part").agg(
