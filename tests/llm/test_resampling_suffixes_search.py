@@ -67,7 +67,7 @@ def removed(frame, depth=suffixes.DEPTH):
     return sorted((-1 if r[0] is None else r[0], *r[1:5], bytes(r[5])) for r in rows)
 
 
-def test_repeated_strings_go_as_by_brute_force(spark):
+def test_repeated_strings_go_as_by_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     passages = [" ".join(word() for _ in range(n)) for n in (5, 12, 13, 14, 30, 80)]
@@ -82,7 +82,10 @@ def test_repeated_strings_go_as_by_brute_force(spark):
     docs += [(200, "=" * 400), (201, "=" * 90 + "-" * 60), (202, "=" * 49), (3, passages[-1]), (None, passages[-1])]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     assert removed(frame) == cut(docs, 50)
-    assert removed(frame, 21) == cut(docs, 21)
+    assert removed(frame, 28) == cut(docs, 28)
+    assert removed(frame, 61) == cut(docs, 61)
+    monkeypatch.setattr(suffixes, "CROWD", 1)  # every gram with several contexts is a crowd
+    assert removed(frame) == cut(docs, 50)
 
 
 def test_windows_over_segments_and_hidden_starts(spark, monkeypatch):
