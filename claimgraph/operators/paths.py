@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.operators.adjacency import Adjacency, dealt, for_every_piece, hub_directory
 from claimgraph.operators.graph import active_ties, adjacency
 from claimgraph.session import materialise
 
@@ -22,7 +23,7 @@ def _near_target(targets: DataFrame, edges: DataFrame, hops: int) -> list[DataFr
 
 
 def find_paths(
-    claims: DataFrame,
+    claims: DataFrame | Adjacency,
     pairs: DataFrame,
     threshold: float = 0.0,
     start: str | None = None,
@@ -37,18 +38,23 @@ def find_paths(
     through, and parallel claims into the target give parallel paths. Paths rank by
     hops, weakest link, claim ids. An entity too far from the target to still reach
     it is left out, which changes no answer.
+
+    ``claims`` may be a published adjacency, whose buckets are then read as they lie. The ties of a hub are met in
+    pieces either way.
     """
     if max_depth < 1 or max_paths < 1:
         raise ValueError("max_depth and max_paths are at least 1")
     pairs = pairs.select(*PAIR).distinct()
-    edges = adjacency(active_ties(claims, threshold, start, end)).select(
-        F.col("entity_id").alias("node"),
-        F.col("counterpart_id").alias("next"),
-        "claim_id",
-        "confidence_point",
-    )
-    # Read at every level and by the near sets, so derived once, and laid out by node.
-    edges = materialise(edges.repartition("node"), "edges")
+    if isinstance(claims, Adjacency):
+        edges, hubs = claims.edges(threshold, start, end), claims.hubs.withColumnRenamed("entity_id", "node")
+    else:
+        edges = adjacency(active_ties(claims, threshold, start, end)).select(
+            F.col("entity_id").alias("node"), F.col("counterpart_id").alias("next"), "claim_id", "confidence_point"
+        )
+        # Read at every level and by the near sets, so derived once.
+        edges = materialise(edges, "edges")
+        hubs = materialise(hub_directory(edges, "node"), "hubs")
+        edges = dealt(edges, hubs, "node", "claim_id")
     near = _near_target(pairs.select("target").distinct(), edges, min(2, max_depth - 1))
 
     frontier = pairs.select(
@@ -63,10 +69,11 @@ def find_paths(
     found = []
     for depth in range(1, max_depth + 1):
         last = depth == max_depth
-        on = [frontier["node"] == edges["node"]]
+        ahead = for_every_piece(frontier, hubs, "node")
+        on = [ahead["node"] == edges["node"], ahead["piece"] == edges["piece"]]
         if last:
-            on.append(frontier["target"] == edges["next"])
-        step = frontier.join(edges, on).select(
+            on.append(ahead["target"] == edges["next"])
+        step = ahead.join(edges, on).select(
             *PAIR,
             F.col("next").alias("node"),
             F.least("weakest", "confidence_point").alias("weakest"),

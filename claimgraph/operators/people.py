@@ -328,6 +328,8 @@ def relationship_claims(
     own = F.coalesce(F.col("id").cast("string"), F.lit(""))
     key = F.when(own == "", F.concat(p1, F.lit("-"), p2)).otherwise(F.trim(own))
     kept = drop_dangling(rels, people)
+    # Text and hash of a row cost far more than moving it, and a source file may be a single split.
+    kept = kept.repartition(int(rels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     supported = kept.withColumns(
         {
             "_support": row_support(rels, source, "relationship", key),
@@ -353,11 +355,6 @@ def relationship_claims(
     return timed.select(F.inline(F.array(claim)))
 
 
-def bad_scores(rels: DataFrame) -> DataFrame:
-    """Relationship rows that :func:`relationship_claims` sets aside, their score being no integer."""
-    return rels.where(native_confidence(F.col("max_certainty"), "")["point"].isNull())
-
-
 def anomaly_counters(people: DataFrame, rels: DataFrame) -> DataFrame:
     """``counter, n`` for the five anomalies that are counted, never repaired, and rows set aside for their score."""
     kept = drop_dangling(rels, people)

@@ -7,13 +7,17 @@ costs n rows, never n squared pairs.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import gram_similarity, normalize_name, trigrams
 
+#: Names of one gram's list that one task meets with the names that may be alike.
+LIST_ROWS = 2000
+
 
 def profiles(names: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct profiles, and ``entity_id, profile_id`` of every entity.
@@ -44,30 +48,53 @@ def _prefix(names: DataFrame, floor: float) -> DataFrame:
 
     Two gram sets with similarity ``floor`` share at least ``ceil(floor * n)`` of n,
     so each has a common gram among its n - ceil(floor * n) + 1 rarest. Frequent
-    grams fall out by proof, not by a cap.
+    grams fall out by proof, not by a cap. ``place`` counts the name's rarer grams, which ``before`` holds.
     """
     grams = names.select("name", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
     rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("name").orderBy("df", "gram")
-    needed = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(floor), 9)) + 1
-    return (
-        grams.join(rarity, "gram")
-        .withColumn("_i", F.row_number().over(order))
-        .where(F.col("_i") <= needed)
-        .select("name", "gram", "n")
+    ordered = grams.join(rarity, "gram").groupBy("name", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "gram")))["gram"].alias("_all")  # as many as the name has
     )
+    needed = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(floor), 9)) + 1
+    return ordered.withColumn("_own", F.slice("_all", F.lit(1), needed.cast("int"))).select(
+        "name", "n", "_own", F.posexplode("_own").alias("place", "gram")
+    ).select("name", "gram", "n", "place", F.slice("_own", F.lit(1), F.col("place")).alias("before"))
 
 
 def similar_names(names: DataFrame, floor: float) -> DataFrame:
-    """``name_a < name_b, similarity`` of distinct names at least ``floor`` alike."""
+    """``name_a < name_b, similarity`` of distinct names at least ``floor`` alike.
+
+    A pair comes out of the join once, at the rarest gram that both have, and only if what can still follow that
+    gram on both sides suffices. The lists of a gram are cut by size of the names, since sizes bound the
+    similarity, and a long list is dealt over several tasks.
+    """
+    if not 0 < floor <= 1:
+        raise ValueError("floor must be in (0, 1]")
     distinct = names.select("name").distinct().withColumn("grams", trigrams(F.col("name")))
-    prefix = _prefix(distinct, floor)
-    left = prefix.select(F.col("name").alias("name_a"), "gram", F.col("n").alias("n_a"))
-    right = prefix.select(F.col("name").alias("name_b"), "gram", F.col("n").alias("n_b"))
-    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(floor)) & (
-        F.col("name_a") < F.col("name_b")
+    # Sizes that the floor still allows lie at most one band apart.
+    band = F.floor(F.log("n") / F.lit(math.log(1 / floor) + 1e-9)).cast("long")
+    listed = _prefix(distinct, floor).withColumn("band", band)
+    pieces = (
+        listed.groupBy("gram", "band").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("pieces")).where("pieces > 1")
     )
-    candidates = left.join(right, "gram").where(near).select("name_a", "name_b").distinct()
+
+    def side(rows: DataFrame, tag: str, piece: Column) -> DataFrame:
+        dealt = rows.join(pieces, ["gram", "band"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        return dealt.select(
+            "gram", "band", piece.alias("piece"), *[F.col(c).alias(f"{c}_{tag}") for c in ("name", "n", "place", "before")]
+        )
+
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
+    left = side(listed, "a", F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int"))
+    right = side(listed.withColumn("band", near), "b", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    after = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    shared = (F.col("n_a") + F.col("n_b")) * F.lit(floor / (1 + floor))
+    candidates = left.join(right, ["gram", "band", "piece"]).where(
+        (F.col("name_a") < F.col("name_b"))
+        & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(floor) - F.lit(1e-9))
+        & (after >= shared - F.lit(1e-9))
+        & ~F.arrays_overlap("before_a", "before_b")
+    ).select("name_a", "name_b")
 
     def grams_of(name: str) -> DataFrame:
         return distinct.select(F.col("name").alias(name), F.col("grams").alias(f"_{name}"))

@@ -129,15 +129,20 @@ class Corpus:
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .select("s_suppkey", "s_nationkey", "n_regionkey")
         )
-        rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(
-            place, F.col("l_suppkey") == F.col("s_suppkey")
-        )
-        # Lines that agree in the named keys are told apart by their other columns, equal ones by a count.
+        # Lines that agree in the named keys are told apart by their other columns, equal ones by a count. There are
+        # few, so they are found by the keys alone and only they are ordered.
         keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         rest = (
             "l_discount", "l_extendedprice", "l_linestatus", "l_quantity", "l_returnflag", "l_shipdate", "l_tax"
         )
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)))
+        again = line.groupBy(*keys).agg(F.count("*").alias("_c")).where("_c > 1").select(*keys)
+        several = line.join(again, [*keys], "left_semi").withColumn(
+            "_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))
+        )
+        line = line.join(again, [*keys], "left_anti").withColumn("_n", F.lit(1)).unionByName(several)
+        rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(
+            place, F.col("l_suppkey") == F.col("s_suppkey")
+        )
         claim_id = F.concat_ws("-", F.lit("t"), *keys, F.col("_n"))
         returned, final = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
         placed, shipped = _day("o_orderdate"), _day("l_shipdate")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.operators import claims as reads
 from claimgraph.operators import graph
+from claimgraph.operators.adjacency import Adjacency, publish_adjacency
 from claimgraph.operators.paths import find_paths, path_steps
 from claimgraph.plans.columns import Y98, YEAR_98
 from claimgraph.plans.corpus import Corpus, supplier_id
 from claimgraph.plans.oracle import BAND, UNDATED, certainly, oracle, possibly
-from claimgraph.plans.registry import query
+from claimgraph.plans.registry import ORACLES, query
+from claimgraph.session import fresh_path
 
 EGO = f"""SELECT *, {certainly(*Y98)} AS certain, {UNDATED} AS undated FROM adj
  WHERE status='asserted' AND {possibly(*Y98)} AND confidence_point >= 0.6
@@ -86,6 +90,19 @@ def _(c: Corpus) -> DataFrame:
     return graph.network_counts(network, focus)
 
 
+def published(c: Corpus) -> Adjacency:
+    """All asserted ties in buckets; entities with more than 50 ties are hubs here."""
+    path = fresh_path(c.spark, "adjacency")
+    return publish_adjacency(c.claims, path, f"ties_{uuid.uuid4().hex}", limit=50)
+
+
+@query("r05b_counts_on_adjacency", ORACLES["r05_network_counts"])
+def _(c: Corpus) -> DataFrame:
+    """The counts of every customer, read from the published adjacency."""
+    focus = customers(c)
+    return graph.network_counts(published(c).ego_network(focus, 0.6, *YEAR_98), focus)
+
+
 @query(
     "r06_cap_edges",
     oracle(f"""SELECT entity_id, claim_id, edge_rank, n > 40 AS truncated FROM (
@@ -340,6 +357,15 @@ def nation_pairs(c: Corpus) -> DataFrame:
     )
 
 
+def _path_rows(paths: DataFrame) -> DataFrame:
+    return paths.select(
+        "source", "target", "path_rank", "hops", "weakest",
+        F.array_join(F.col("claim_ids").cast("array<string>"), ">").alias("claim_path"),
+        F.array_join(F.col("entity_ids").cast("array<string>"), ">").alias("entity_path"),
+        "truncated",
+    )
+
+
 @query(
     "r22_find_paths",
     oracle(
@@ -352,13 +378,13 @@ def nation_pairs(c: Corpus) -> DataFrame:
 )
 def _(c: Corpus) -> DataFrame:
     """Three best paths of at most three ties at 0.9 or more, for every customer."""
-    paths = find_paths(c.claims, nation_pairs(c), 0.9, *YEAR_98, max_depth=3, max_paths=3)
-    return paths.select(
-        "source", "target", "path_rank", "hops", "weakest",
-        F.array_join(F.col("claim_ids").cast("array<string>"), ">").alias("claim_path"),
-        F.array_join(F.col("entity_ids").cast("array<string>"), ">").alias("entity_path"),
-        "truncated",
-    )
+    return _path_rows(find_paths(c.claims, nation_pairs(c), 0.9, *YEAR_98, max_depth=3, max_paths=3))
+
+
+@query("r22c_paths_on_adjacency", ORACLES["r22_find_paths"])
+def _(c: Corpus) -> DataFrame:
+    """The same paths over the published adjacency."""
+    return _path_rows(find_paths(published(c), nation_pairs(c), 0.9, *YEAR_98, max_depth=3, max_paths=3))
 
 
 @query(
