@@ -19,7 +19,16 @@ from claimgraph.operators.ordered import numbered
 from claimgraph.plans.corpus import Corpus
 from claimgraph.plans.oracle import oracle
 from claimgraph.plans.registry import query
-from claimgraph.schema import BOUNDS, PEOPLE_COLUMNS, PEOPLE_TYPES, source_types
+from claimgraph.schema import (
+    BOUNDS,
+    LETTER_AUTHORITIES,
+    LETTER_TYPES,
+    PEOPLE_AUTHORITIES,
+    PEOPLE_COLUMNS,
+    PEOPLE_TYPES,
+    source_authorities,
+    source_types,
+)
 from claimgraph.session import fresh_path, materialise
 from claimgraph.sources import delimited, export, manifest, ndjson
 from claimgraph.sources.letters import read_letters
@@ -277,15 +286,18 @@ def _(c: Corpus) -> DataFrame:
     )
 
 
-@query(
-    "m18_anomaly_counters",
-    oracle(
-        """SELECT 'odnb_zero_sentinel' AS counter, count(*) AS n FROM people0 WHERE odnb_id IN ('','0')
+COUNTERS = """SELECT 'odnb_zero_sentinel' AS counter, count(*) AS n FROM people0 WHERE odnb_id IN ('','0')
  UNION ALL SELECT 'relationship_dangling_endpoint_skipped', count(*) FROM rows2 WHERE NOT known
  UNION ALL SELECT 'valid_time_inverted_dropped_bounds', count(*) FROM rows2 WHERE known AND inv
  UNION ALL SELECT 'bad_year_value', (SELECT count(*) FROM people0 WHERE birth_year='circ') + (SELECT count(*) FROM rows2 WHERE known AND bad_end)
  UNION ALL SELECT 'duplicate_pair_kept', (SELECT count(*) - count(DISTINCT (least(p1,p2), greatest(p1,p2))) FROM rows2 WHERE known)
- UNION ALL SELECT 'bad_score_set_aside', count(*) FROM rows2 WHERE known AND score IS NULL""",
+ UNION ALL SELECT 'bad_score_set_aside', count(*) FROM rows2 WHERE known AND score IS NULL"""
+
+
+@query(
+    "m18_anomaly_counters",
+    oracle(
+        COUNTERS,
         PEOPLE,
     ),
 )
@@ -310,6 +322,49 @@ def _(c: Corpus) -> DataFrame:
     )
 
 
+def _whole(entities: DataFrame, claims: DataFrame, counters: DataFrame) -> DataFrame:
+    """All that a transform yields as one frame of flat rows: entities, claims and counters."""
+    none = F.lit(None)
+    v, tie = F.col("valid_time"), F.col("object_entity").isNotNull()
+    flat_claims = claims.select(
+        F.lit("claim").alias("part"), F.col("subject.id").alias("subject"), "predicate",
+        F.coalesce("object_entity.id", "object_literal.value").alias("object"), "confidence.point",
+        v["start_earliest"].alias("first_day"), F.when(tie, v["end_latest"]).otherwise(v["start_latest"]).alias("last_day"),
+        v["original"].alias("original"), "method_detail", F.col("support")[0]["external_id"].alias("record"),
+    )
+
+    def other(rows: DataFrame, part: str, subject: Column, predicate: Column) -> DataFrame:
+        empty = {c: none.cast(t).alias(c) for c, t in flat_claims.dtypes}
+        return rows.select(*(empty | {
+            "part": F.lit(part).alias("part"), "subject": subject.alias("subject"), "predicate": predicate.alias("predicate")
+        }).values())
+
+    kinds = F.concat_ws(":", "ref.authority", "entity_type", F.size("external_ids"))
+    return (
+        flat_claims.unionByName(other(entities, "entity", F.col("ref.id"), kinds))
+        .unionByName(other(counters, "counter", F.col("counter"), F.col("n").cast("string")))
+    )
+
+
+_NOTHING = "NULL AS object, NULL AS point, NULL AS first_day, NULL AS last_day, NULL AS original, NULL AS method_detail, NULL AS record"
+
+
+@query(
+    "m19b_whole_transform",
+    oracle(
+        "SELECT 'claim' AS part, subject, predicate, value AS object, NULL::DOUBLE AS point, se AS first_day, sl AS last_day, original, method_detail, subject AS record FROM ("
+        + " UNION ALL ".join(f"SELECT subject, predicate, value, se, sl, original, method_detail FROM ({q})" for q in (PRIMARY, ALIAS, LIFE, GENDER, DESCRIPTION, EXTERNAL))
+        + f""") UNION ALL SELECT 'claim', subject, 'associated-with', object, point, se, el, original, NULL, external_id FROM ({TIE_CLAIM})
+ UNION ALL SELECT 'entity', id, 'sdfb:person:1', {_NOTHING} FROM people0
+ UNION ALL SELECT 'counter', counter, CAST(n AS VARCHAR), {_NOTHING} FROM ({COUNTERS})""",
+        PEOPLE,
+    ),
+)
+def _(c: Corpus) -> DataFrame:
+    """Every entity, claim and counter of the people mapping."""
+    return _whole(*people.transform(people_rows(c), tie_rows(c)))
+
+
 def _values(rows) -> str:
     """Registry rows as SQL."""
     def one(v) -> str:
@@ -493,6 +548,57 @@ def _(c: Corpus) -> DataFrame:
     return letters.letter_counters(letter_frame(c))
 
 
+@query(
+    "m25b_letter_transform",
+    oracle(
+        f"""SELECT 'claim' AS part, s AS subject, 'has-name' AS predicate, sname AS object, NULL::DOUBLE AS point, NULL::DATE AS first_day, NULL::DATE AS last_day,
+ NULL AS original, NULL AS method_detail, coalesce(key,'https://example.org/letter/'||k) AS record FROM letter2 WHERE s IS NOT NULL
+ UNION ALL SELECT 'claim', r, 'has-name', rname, NULL, NULL, NULL, NULL, NULL, coalesce(key,'https://example.org/letter/'||k) FROM letter2 WHERE r IS NOT NULL AND rname IS NOT NULL
+ UNION ALL SELECT 'claim', key, 'has-name', 'Letter: '||sname||' → '||coalesce(rname,'?')||coalesce(' ('||coalesce(when_,nb,reply)||')',''), NULL, NULL, NULL, NULL, NULL, key FROM letter2 WHERE key IS NOT NULL
+ UNION ALL SELECT 'claim', s, 'corresponded-with', r, NULL, se, el, CASE WHEN f<=2 THEN '{{"when":"'||when_||'"}}' WHEN f=3 THEN '{{"notAfter":"'||na||'","notBefore":"'||nb||'"}}'
+ WHEN f=4 THEN '{{"from":"'||fr||'"}}' WHEN f=6 THEN '{{"when":"'||reply||'"}}' END, '{{"direction":"sent","letter":'||coalesce('"'||key||'"','null')||'}}', coalesce(key,'https://example.org/letter/'||k)
+ FROM letter2 WHERE s IS NOT NULL AND r IS NOT NULL
+ UNION ALL SELECT 'entity', s, 'gnd:person:1', {_NOTHING} FROM letter0 WHERE s IS NOT NULL UNION ALL SELECT 'entity', r, 'gnd:person:1', {_NOTHING} FROM letter0 WHERE r IS NOT NULL
+ UNION ALL SELECT 'entity', key, 'correspsearch:document:1', {_NOTHING} FROM letter0 WHERE key IS NOT NULL
+ UNION ALL SELECT 'counter', 'letter_missing_sender_gnd', CAST(count(*) AS VARCHAR), {_NOTHING} FROM letter0 WHERE s IS NULL
+ UNION ALL SELECT 'counter', 'letter_missing_receiver_gnd', CAST(count(*) AS VARCHAR), {_NOTHING} FROM letter0 WHERE r IS NULL
+ UNION ALL SELECT 'counter', 'letter_bad_date', CAST(count(*) AS VARCHAR), {_NOTHING} FROM letter1 WHERE f=5 AND s IS NOT NULL AND r IS NOT NULL
+ UNION ALL SELECT 'counter', 'letter_undated', CAST(count(*) AS VARCHAR), {_NOTHING} FROM letter1 WHERE (f=5 OR (f=6 AND reply IS NULL)) AND s IS NOT NULL AND r IS NOT NULL""",
+        LETTERS,
+    ),
+)
+def _(c: Corpus) -> DataFrame:
+    """Every entity, claim and counter of the letter mapping."""
+    return _whole(*letters.transform(letter_frame(c)))
+
+
+@query(
+    "m26b_letter_registries",
+    oracle(
+        f"""SELECT 'type' AS registry, slug, label, range_kind||':'||is_symmetric AS detail, (SELECT count(*) FROM letter2 WHERE s IS NOT NULL AND r IS NOT NULL) AS uses
+ FROM (VALUES {_values(LETTER_TYPES)}) v(slug, label, range_kind, is_symmetric)
+ UNION ALL SELECT 'authority', slug, label, CAST(bearing AS VARCHAR), CASE slug WHEN 'gnd' THEN (SELECT count(s)+count(r) FROM letter0) ELSE (SELECT count(key) FROM letter0) END
+ FROM (VALUES {_values(LETTER_AUTHORITIES)}) v(slug, label, bearing)
+ UNION ALL SELECT 'authority', slug, label, CAST(bearing AS VARCHAR), CASE slug WHEN 'sdfb' THEN (SELECT count(*) FROM people0) ELSE 0 END
+ FROM (VALUES {_values(PEOPLE_AUTHORITIES)}) v(slug, label, bearing)""",
+        LETTERS | PEOPLE,
+    ),
+)
+def _(c: Corpus) -> DataFrame:
+    """What both mappings register beside the people's types, with the claims and entities that use it."""
+    entities, claims, _ = letters.transform(letter_frame(c))
+    types = source_types(c.spark, LETTER_TYPES).join(claims.groupBy(F.col("predicate").alias("slug")).agg(F.count("*").alias("uses")), "slug", "left")
+    named = entities.select("ref.authority").unionByName(people.people_entities(people_rows(c)).select("ref.authority"))
+    authorities = source_authorities(c.spark, LETTER_AUTHORITIES + PEOPLE_AUTHORITIES).join(
+        named.groupBy(F.col("authority").alias("slug")).agg(F.count("*").alias("uses")), "slug", "left"
+    )
+    return types.select(
+        F.lit("type").alias("registry"), "slug", "label", F.concat_ws(":", "range_kind", "is_symmetric").alias("detail"), "uses"
+    ).unionByName(authorities.select(
+        F.lit("authority").alias("registry"), "slug", "label", F.col("identity_bearing").cast("string").alias("detail"), "uses"
+    )).fillna(0, ["uses"])
+
+
 # Sources -----------------------------------------------------------------------------
 @query("s01_read_delimited", oracle(f"SELECT {', '.join(PEOPLE_COLUMNS)}, 'person' AS record_kind FROM people0", PEOPLE))
 def _(c: Corpus) -> DataFrame:

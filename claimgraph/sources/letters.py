@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions.wire import json_object, member, raw_member
 from claimgraph.operators.letters import DATE_KEYS, gnd_id
+from claimgraph.operators.ordered import once
 
 # Every attribute is read as text: inference would turn partial dates into NULL.
 _TEXT_WITH_REF = "struct<_VALUE:string,_ref:string>"
 _DATE = "struct<_VALUE:string,_when:string,_notBefore:string,_notAfter:string,_from:string,_to:string>"
+ROW = "correspDesc"
 XML_SCHEMA = (
     "_key string, _ref string, _source string, "
     f"correspAction array<struct<_type:string,persName:{_TEXT_WITH_REF},"
@@ -49,9 +51,23 @@ def _action_json(name: str) -> Column:
     return F.when(a.isNotNull(), json_object(*[members[k] for k in sorted(members)]))
 
 
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """``element``: every row element as text, an empty one (``<.../>``) too.
+
+    Files are cut at the closing tags, so one file is read by as many tasks as it has splits, wherever its lines
+    break. The closing tag must stand in markup only, not in a comment.
+    """
+    chunks = spark.read.option("lineSep", f"</{ROW}>").text(path)
+    empty = rf"<{ROW}(?=[\s/>])[^>]*/>"
+    found = F.regexp_extract_all("value", F.lit(rf"(?s)({empty}|<{ROW}(?=[\s>]).*)"), F.lit(1))
+    element = F.when(F.col("_e").rlike(f"^{empty}$"), F.col("_e")).otherwise(F.concat("_e", F.lit(f"</{ROW}>")))
+    return chunks.select(F.explode(found).alias("_e")).select(element.alias("element"))
+
+
 def read_letters(spark: SparkSession, path: str) -> DataFrame:
     """``key, ref, edition, sent, received, raw`` per letter; ``raw`` is canonical JSON."""
-    rows = spark.read.format("xml").option("rowTag", "correspDesc").schema(XML_SCHEMA).load(path)
+    parsed = once(_elements(spark, path), _row=F.from_xml("element", XML_SCHEMA))
+    rows = parsed.select("_row.*")
     edition = F.ltrim(F.coalesce("_source", F.lit("")), F.lit("#"))
     letters = rows.select(
         F.col("_key").alias("key"),

@@ -326,6 +326,32 @@ def test_letters_from_xml(spark, tmp_path):
     assert {r["counter"]: r["n"] for r in counters.collect()}["letter_missing_receiver_gnd"] == 1
 
 
+def test_one_letter_file_is_read_by_many_tasks(spark, tmp_path):
+    from claimgraph.sources.letters import XML_SCHEMA, read_letters
+
+    body = XML.split("<list>")[1].split("</list>")[0]
+    rows = "".join(
+        body.replace("A1", f"P{i}").replace("A2", f"Q{i}") + ("<correspDesc key='E%d'/>" % i if i % 3 == 0 else "") for i in range(400)
+    )
+    path = tmp_path / "many.xml"
+    path.write_text(f"<TEI><text><list>{rows}</list></text></TEI>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        letters_read = read_letters(spark, str(path))
+        assert letters_read.rdd.getNumPartitions() > 4
+        found = letters_read.select("key", "ref", "edition", "sent", "received").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["key"] for r in found) == sorted(
+        [f"{k}{i}" for k in "PQ" for i in range(400)] + [f"E{i}" for i in range(0, 400, 3)]
+    )
+    whole = spark.read.format("xml").option("rowTag", "correspDesc").schema(XML_SCHEMA).load(str(path))
+    assert whole.count() == len(found)
+    one = next(r for r in found if r["key"] == "P7")
+    assert (one["sent"]["name"], one["sent"]["gnd"], one["received"]["name"]) == ("Eva  Ring", "11", "Jon Dale")
+
+
 # Validation and import --------------------------------------------------------------------
 def claim_line(**changes):
     base = {
