@@ -184,6 +184,17 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     ).select("rep", "n_shingles", "centre", "p.k", "p.value")
 
 
+def _key(k, value):
+    """A posting in one number."""
+    return F.shiftleft(k.cast("long"), 32).bitwiseOR(value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _agree(matches: int):
+    """Whether the signatures of ``a`` and ``b`` collide often enough."""
+    same = F.zip_with("signature_a", "signature_b", lambda x, y: F.when(x == y, F.lit(True)))
+    return F.size(F.array_compact(same)) >= matches
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -238,16 +249,9 @@ def near_duplicates(
         .select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
         .distinct()
     )
-    def alike(pairs: DataFrame, name: str) -> DataFrame:
-        """Candidate pairs with collisions enough, confirmed on the full sets of those they name."""
-        a = classes.select(F.col("rep").alias("u"), *(F.col(c).alias(f"{c}_a") for c in ("n_shingles", "parity", "signature")))
-        b = classes.select(F.col("rep").alias("v"), *(F.col(c).alias(f"{c}_b") for c in ("n_shingles", "parity", "signature")))
-        counted = scratch.write(
-            pairs.join(a, "u").join(b, "v").where(_near_enough(similarity))
-            .select("u", "v", F.col("signature_a").alias("sig_a"), F.col("signature_b").alias("sig_b"))
-            .mapInArrow(_collisions(matches), "u long, v long").distinct(),
-            f"{name}-counted",
-        )
+
+    def confirmed(counted: DataFrame, name: str) -> DataFrame:
+        """The pairs that are links by the full sets of those they name."""
         wanted = counted.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
         sets = scratch.write(
             texts.join(wanted, texts.doc_id == wanted.rep)
@@ -260,9 +264,18 @@ def near_duplicates(
             .mapInArrow(_confirm(similarity), "u long, v long").distinct(),
             f"{name}-links",
         )
-        scratch.drop(f"{name}-counted", f"{name}-sets")
+        scratch.drop(f"{name}-sets")
         return sure
 
+    a = classes.select(F.col("rep").alias("u"), *(F.col(c).alias(f"{c}_a") for c in ("n_shingles", "parity", "signature")))
+    b = classes.select(F.col("rep").alias("v"), *(F.col(c).alias(f"{c}_b") for c in ("n_shingles", "parity", "signature")))
+    to_hub = scratch.write(
+        stars.join(a, "u").join(b, "v").where(_near_enough(similarity))
+        .select("u", "v", F.col("signature_a").alias("sig_a"), F.col("signature_b").alias("sig_b"))
+        .mapInArrow(_collisions(matches), "u long, v long").distinct(),
+        "to-hub",
+    )
+
     # An id that has several texts ties their classes together.
     members = scratch.write(
         described.drop("signature", "parity").join(classes.drop("signature", "parity"), key, "left")
@@ -274,7 +287,7 @@ def near_duplicates(
         .agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last")
     )
     same_id = members.join(several_texts, "doc_id").select(F.col("rep").alias("u"), "v")
-    around = components(alike(stars, "star").unionByName(same_id))
+    around = components(confirmed(to_hub, "star").unionByName(same_id))
 
     # A list that holds one component is done. In the others the members outside the central member's
     # component meet all members, so the pairs inside a large component are never formed.
@@ -289,24 +302,32 @@ def near_duplicates(
         )
         .where("one < two").select(*in_list, "main")
     )
+    in_open = placed.join(open_lists, in_list).select("rep").distinct()
+    described_by = (
+        posted.join(in_open, "rep", "left_semi").groupBy("rep")
+        .agg(F.collect_list(_key(F.col("k"), F.col("value"))).alias("keys"))  # as many as the prefix has
+        .join(classes.select("rep", "parity", "signature"), "rep")
+    )
     opened = scratch.write(
         placed.join(open_lists, in_list)
         .select(*in_list, "own", "rep", "n_shingles", "component", (F.col("component") != F.col("main")).alias("out"))
-        .join(classes.select("rep", "parity"), "rep"),
+        .join(described_by, "rep"),
         "open-lists",
     )
-    sides = ("own", "rep", "n_shingles", "component", "out", "parity")
+    sides = ("own", "rep", "n_shingles", "component", "out", "keys", "parity", "signature")
     a = opened.where("out").select(*in_list, *(F.col(c).alias(f"{c}_a") for c in sides))
     b = opened.select(*in_list, *(F.col(c).alias(f"{c}_b") for c in sides))
     apart = F.expr("component_a <> component_b AND (NOT out_b OR rep_a < rep_b) AND (own_a OR own_b)")
-    # All tests are part of the join: only pairs that the bound allows leave it.
-    crossing = (
-        a.join(b, [*(a[c] == b[c] for c in in_list), apart, _near_enough(similarity)])
-        .select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v"))
-        .distinct()
+    # A pair may share many lists and is met in the first of them alone.
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == _key(a["k"], a["value"])
+    # All tests are part of the join: only pairs of like sizes, parities and signatures leave it, each once.
+    crossing = scratch.write(
+        a.join(b, [*(a[c] == b[c] for c in in_list), apart, _near_enough(similarity), _agree(matches), once])
+        .select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")),
+        "crossing",
     )
-    crossed = alike(crossing, "cross")
-    scratch.drop("signatures", "classes", "postings", "open-lists")
+    crossed = confirmed(crossing, "cross")
+    scratch.drop("signatures", "classes", "postings", "open-lists", "to-hub", "crossing")
     found = components(around.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(crossed))
     return (
         members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
