@@ -1,7 +1,8 @@
 """Quality rules from tokeniser fertility.
 
-The words of a text are split by a fixed public vocabulary with byte fallback. Characters per token, the share of
-byte tokens and the entropy of the tokens are held against bands measured over all documents of the language.
+The words of a text are split by a fixed public vocabulary with byte fallback. Tokens per word, characters per token,
+the shares of byte tokens and of tokens without letter or digit, and the entropy of the tokens are held against bands
+measured over all documents of the language.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 WINDOW = 5
-#: A band reaches so many times the distance from the median to the outer tenth beyond the median ...
-WIDTH = 6.0
-#: ... and at least so far, so that a uniform corpus rejects no near neighbours.
-LEAST_REACH = {"chars_per_token": 0.8, "byte_share": 0.2, "evenness": 0.25}
+#: A band reaches so many times the distance between the quartiles beyond them ...
+WIDTH = 4.0
+#: ... and at least so far, so that a uniform corpus rejects no near neighbours. A text of few tokens is measured less
+#: surely: at SHORT tokens the reach is doubled.
+LEAST_REACH = {"tokens_per_word": 1.0, "chars_per_token": 0.5, "byte_share": 0.1, "mark_share": 0.1, "evenness": 0.15}
+SHORT = 60
 MEASURES = tuple(LEAST_REACH)
 #: So many languages' bands are sent to every executor; with more the rows are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
@@ -33,8 +36,11 @@ def _model(path: str, raw: bytes):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        bytes_ = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(model.get_piece_size())])
-        _MODELS[path] = (model, bytes_)
+        pieces = range(model.get_piece_size())
+        bytes_ = np.array([model.is_byte(i) or model.is_unknown(i) for i in pieces])
+        texts = [model.id_to_piece(i).strip("\u2581") for i in pieces]
+        marks = np.array([bool(t) and not any(c.isalnum() for c in t) for t in texts]) & ~bytes_
+        _MODELS[path] = (model, bytes_, marks)
     return _MODELS[path]
 
 
@@ -73,7 +79,7 @@ def repeated_words(w) -> np.ndarray:
 
 def measured(column: pa.Array, path: str, raw_model: bytes) -> dict[str, np.ndarray]:
     """The counts and measures of each text; measures of a text without words are 0."""
-    model, is_byte = _model(path, raw_model)
+    model, is_byte, is_mark = _model(path, raw_model)
     w = words_of(column)
     rows = len(w.first) - 1
     points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
@@ -95,6 +101,7 @@ def measured(column: pa.Array, path: str, raw_model: bytes) -> dict[str, np.ndar
     tokens = flat[np.repeat(start[back], count) + within]
     row = np.repeat(w.doc, count)
     n_bytes = np.bincount(row[is_byte[tokens]], minlength=rows)
+    n_marks = np.bincount(row[is_mark[tokens]], minlength=rows)
     keys = np.sort(row * len(is_byte) + tokens)
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     times = np.diff(np.append(new, len(keys)))
@@ -106,7 +113,8 @@ def measured(column: pa.Array, path: str, raw_model: bytes) -> dict[str, np.ndar
         "n_symbols": marks[w.bounds[1:]] - marks[w.bounds[:-1]],
         "n_dup_lines": np.array([duplicate_lines(t or "") for t in texts], dtype=np.int64),
         "n_repeat_words": repeated_words(w), "n_tokens": n_tokens,
-        "chars_per_token": word_chars / n, "byte_share": n_bytes / n,
+        "tokens_per_word": n_tokens / np.maximum(np.diff(w.first), 1),
+        "chars_per_token": word_chars / n, "byte_share": n_bytes / n, "mark_share": n_marks / n,
         "entropy": entropy,
         # Of what so many tokens could have: long texts repeat tokens of the vocabulary anyway.
         "evenness": entropy / np.log2(np.clip(n_tokens, 2, 4096)),
@@ -115,7 +123,8 @@ def measured(column: pa.Array, path: str, raw_model: bytes) -> dict[str, np.ndar
 
 _SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_tokens long, chars_per_token double, byte_share double, entropy double, evenness double"
+    "n_tokens long, tokens_per_word double, chars_per_token double, byte_share double, mark_share double, "
+    "entropy double, evenness double"
 )
 
 
@@ -151,18 +160,17 @@ def quality(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         ),
         "measures",
     )
-    points = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
+    points = F.array(F.lit(0.25), F.lit(0.75))
     bands = rows.where("NOT base_failed").groupBy("lang").agg(*(
         F.percentile_approx(m, points, F.lit(10_000)).alias(f"__{m}") for m in MEASURES
     ))
     bands = scratch.write(bands, "bands")
     inside = F.lit(True)
+    unsure = 1 + F.lit(float(SHORT)) / F.col("n_tokens")
     for m in MEASURES:
-        low, middle, high = (F.col(f"__{m}")[i] for i in range(3))
-        reach = F.lit(LEAST_REACH[m])
-        inside = inside & (
-            F.col(m) >= middle - F.greatest(reach, WIDTH * (middle - low))
-        ) & (F.col(m) <= middle + F.greatest(reach, WIDTH * (high - middle)))
+        low, high = F.col(f"__{m}")[0], F.col(f"__{m}")[1]
+        reach = F.greatest(F.lit(LEAST_REACH[m]), WIDTH * (high - low)) * unsure
+        inside = inside & F.col(m).between(low - reach, high + reach)
     few = bands.count() <= BROADCAST_LANGUAGES
     return (
         rows.join(F.broadcast(bands) if few else bands, "lang", "left")
