@@ -79,6 +79,9 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Leaf rows (``__domain, __lang, __source, tokens``) with the tokens each is to give."""
     cap = F.col("tokens") * F.lit(float(mix.epochs))
     total = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(mix.share))).alias("total"))
+    # A leaf that a weight leaves out on any level gives nothing, so it is no capacity of those above it either.
+    for level in LEVELS:
+        leaves = leaves.where(_weight(level, mix) > 0)
     given, family = total, []
     for level in LEVELS:
         keys = [*family, f"__{level}"]
@@ -190,7 +193,7 @@ def oracle(mix: Mix = Mix()) -> str:
         up = f"JOIN g_{family[-1]} USING ({', '.join(family)})" if family else ", root"
         steps.append(f"""
 n_{level} AS (SELECT {keys}, sum(tokens)::DOUBLE * {mix.epochs} AS capacity, {weight(plain).replace(plain + " =", level + " =")} AS weight
-  FROM leaf GROUP BY {keys}),
+  FROM used GROUP BY {keys}),
 a_{level} AS (SELECT n_{level}.*, budget AS total,
   capacity <= weight * (budget - coalesce(sum(capacity) OVER b, 0)) / (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER b, 0)) AS full_
   FROM n_{level} {up}
@@ -200,11 +203,13 @@ g_{level} AS (SELECT {keys}, CASE WHEN full_ THEN capacity ELSE
     / sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ({part}) END AS budget FROM a_{level})""")
         family.append(level)
     keys = ", ".join(family)
+    used = " AND ".join(f"({weight(x.rstrip('0')).replace(x.rstrip('0') + ' =', x + ' =')}) > 0" for x in family)
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce({domain}, '') AS domain, coalesce(lang, '') AS lang0,
     coalesce(source, '') AS source0, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens FROM documents),
 leaf AS (SELECT {keys}, sum(n_tokens) AS tokens FROM d GROUP BY {keys} HAVING sum(n_tokens) > 0),
-root AS (SELECT sum(tokens)::DOUBLE * {mix.share} AS budget FROM leaf),{",".join(steps)},
+root AS (SELECT sum(tokens)::DOUBLE * {mix.share} AS budget FROM leaf),
+used AS (SELECT * FROM leaf WHERE {used}),{",".join(steps)},
 p AS (SELECT *, floor(budget / tokens)::BIGINT AS whole FROM leaf JOIN g_source0 USING ({keys})),
 k AS (SELECT d.*, whole, budget - whole * tokens AS rest, md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS key
   FROM d JOIN p USING ({keys})),
