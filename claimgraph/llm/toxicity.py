@@ -24,6 +24,13 @@ SAMPLE = {1: 4000, 0: 8000}
 LEAST_DOCUMENTS = 3  # of the sample that a term must occur in
 SCREEN_ROUNDS = 150
 PENALTY = 0.7
+REFIT_ROUNDS = 60
+#: A pair is learned if both terms together occur in so many sampled documents, and their surplus of toxic ones is so
+#: many standard deviations and so many times that of either term alone.
+PAIR_DOCUMENTS = 10
+PAIR_DEVIATIONS = 6.0
+PAIR_OVER_TERMS = 1.5
+PAIR_CELLS = 1 << 21  # pairs counted at once
 EPOCHS = 250
 RATE = 0.05
 L2 = 0.3
@@ -68,19 +75,15 @@ def _odds_error(raw: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels
 
 
-def screen(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """Terms to which an L1-penalised logistic regression gives a weight (accelerated proximal gradient).
-
-    The penalty, the root of the number of toxic documents, is what chance differences between classes reach.
-    """
-    penalty = max(1.0, PENALTY * np.sqrt(labels.sum()))
+def linear(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int, penalty: float, rounds: int) -> np.ndarray:
+    """Weights, then the bias, of an L1-penalised logistic regression (accelerated proximal gradient)."""
     row = np.repeat(np.arange(len(labels)), np.diff(first))
     w = ahead = np.zeros(size + 1)  # the last is the bias
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     w[-1] = np.log(share / (1 - share))
     scale = 4.0 / max(1, np.diff(first).max(initial=1)) / max(1.0, np.sqrt(len(labels)))
     momentum = 1.0
-    for _ in range(SCREEN_ROUNDS):
+    for _ in range(rounds):
         raw = np.bincount(row, ahead[terms], minlength=len(labels)) + ahead[-1]
         error = _odds_error(raw, labels)
         slope = np.append(np.bincount(terms, error[row], minlength=size), error.sum())
@@ -89,7 +92,66 @@ def screen(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int)
         after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         ahead = new + (momentum - 1) / after * (new - w)
         w, momentum = new, after
-    return w[:-1] != 0
+    return w
+
+
+def screen(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Terms that tell the classes apart alone, or as one of a pair.
+
+    Alone: those with a weight under a penalty, the root of the number of toxic documents, that chance differences
+    between classes reach. In a pair: those whose joint occurrence is toxic more often than the single terms explain.
+    """
+    alone = linear(terms, first, labels, size, max(1.0, PENALTY * np.sqrt(labels.sum())), SCREEN_ROUNDS)[:-1] != 0
+    number = np.cumsum(alone) - 1
+    kept = alone[terms]
+    own, own_first = number[terms[kept]], np.concatenate([[0], np.cumsum(kept)])[first]
+    # The chosen terms without the penalty, which would leave some of their own effect to the pairs.
+    w = linear(own, own_first, labels, int(alone.sum()), 0.0, REFIT_ROUNDS)
+    row = np.repeat(np.arange(len(labels)), np.diff(own_first))
+    chance = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[own], minlength=len(labels)) + w[-1], -40, 40)))
+    return alone | paired(terms, first, labels - chance, chance * (1 - chance), size)
+
+
+def paired(terms: np.ndarray, first: np.ndarray, surplus: np.ndarray, variance: np.ndarray, size: int) -> np.ndarray:
+    """Terms of pairs whose documents' ``surplus`` is far beyond chance and beyond that of either term.
+
+    Pairs are counted for a stretch of terms at a time: each document that holds one of them adds all its terms.
+    """
+    out = np.zeros(size, dtype=bool)
+    often = np.bincount(terms, minlength=size) >= PAIR_DOCUMENTS
+    kept = often[terms]
+    first = np.concatenate([[0], np.cumsum(kept)])[first]
+    names = np.flatnonzero(often)
+    number = np.full(size, -1)
+    number[names] = np.arange(len(names))
+    own, n = number[terms[kept]], len(names)
+    row, length = np.repeat(np.arange(len(surplus)), np.diff(first)), np.diff(first)
+    single = np.bincount(own, surplus[row], minlength=n) / np.sqrt(np.bincount(own, variance[row], minlength=n) + 1e-9)
+    order = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[order], np.arange(n + 1))
+    step = max(1, PAIR_CELLS // max(1, n))
+    for low in range(0, n, step):
+        high = min(low + step, n)
+        cells = np.zeros((3, (high - low) * n))
+        held = order[ends[low] : ends[high]]  # occurrences of this stretch's terms
+        cut = np.searchsorted(np.cumsum(length[row[held]]), np.arange(PAIR_CELLS, length[row[held]].sum() + PAIR_CELLS, PAIR_CELLS))
+        for i, j in zip(np.append(0, cut), np.append(cut, len(held))):
+            some = held[i:j]
+            if not len(some):
+                continue
+            many = length[row[some]]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[row[some]], many)
+            cell = np.repeat((own[some] - low) * n, many) + own[at]
+            for k, value in enumerate((surplus, variance, np.ones(len(surplus)))):
+                cells[k] += np.bincount(cell, np.repeat(value[row[some]], many), minlength=cells.shape[1])
+        z = cells[0] / np.sqrt(cells[1] + 1e-9)
+        a, b = np.divmod(np.arange(cells.shape[1]), n)
+        a += low
+        floor = PAIR_OVER_TERMS * np.maximum(np.abs(single[a]), np.abs(single[b]))
+        found = (a != b) & (cells[2] >= PAIR_DOCUMENTS) & (z >= np.maximum(PAIR_DEVIATIONS, floor))
+        out[names[a[found]]] = True
+        out[names[b[found]]] = True
+    return out
 
 
 def fit(sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
