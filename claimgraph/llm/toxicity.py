@@ -24,7 +24,7 @@ SAMPLE = {1: 4000, 0: 8000}
 LEAST_DOCUMENTS = 3  # of the sample that a term must occur in
 SCREEN_ROUNDS = 150
 PENALTY = 0.7
-REFIT_ROUNDS = 60
+NEWTON_STEPS = 12
 #: A pair is learned if both terms together occur in so many sampled documents, and their surplus of toxic ones is so
 #: many standard deviations and so many times that of either term alone.
 PAIR_DOCUMENTS = 10
@@ -75,15 +75,15 @@ def _odds_error(raw: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels
 
 
-def linear(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int, penalty: float, rounds: int) -> np.ndarray:
-    """Weights, then the bias, of an L1-penalised logistic regression (accelerated proximal gradient)."""
+def lasso(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int, penalty: float) -> np.ndarray:
+    """Weights of an L1-penalised logistic regression (accelerated proximal gradient)."""
     row = np.repeat(np.arange(len(labels)), np.diff(first))
     w = ahead = np.zeros(size + 1)  # the last is the bias
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     w[-1] = np.log(share / (1 - share))
     scale = 4.0 / max(1, np.diff(first).max(initial=1)) / max(1.0, np.sqrt(len(labels)))
     momentum = 1.0
-    for _ in range(rounds):
+    for _ in range(SCREEN_ROUNDS):
         raw = np.bincount(row, ahead[terms], minlength=len(labels)) + ahead[-1]
         error = _odds_error(raw, labels)
         slope = np.append(np.bincount(terms, error[row], minlength=size), error.sum())
@@ -92,7 +92,31 @@ def linear(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int,
         after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         ahead = new + (momentum - 1) / after * (new - w)
         w, momentum = new, after
-    return w
+    return w[:-1]
+
+
+def refitted(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Chance of each row under a logistic regression without the L1 penalty (Newton, a ridge of 1); for few terms."""
+    w, ridge = np.zeros(size + 1), np.append(np.ones(size), 1e-6)
+    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    w[-1] = np.log(share / (1 - share))
+    row = np.repeat(np.arange(len(labels)), np.diff(first))
+    for step in range(NEWTON_STEPS + 1):
+        raw = np.bincount(row, w[terms], minlength=len(labels)) + w[-1]
+        chance = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        if step == NEWTON_STEPS:
+            return chance
+        slope, curve = ridge * w, np.diag(ridge)
+        for low in range(0, len(labels), 1000):  # so many rows are dense at once
+            high = min(low + 1000, len(labels))
+            x = np.zeros((high - low, size + 1))
+            x[:, -1] = 1
+            i, j = first[low], first[high]
+            x[row[i:j] - low, terms[i:j]] = 1
+            p = chance[low:high]
+            slope += x.T @ (p - labels[low:high])
+            curve += x.T @ (x * (p * (1 - p))[:, None])
+        w -= np.linalg.solve(curve, slope)
 
 
 def screen(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
@@ -101,14 +125,11 @@ def screen(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int)
     Alone: those with a weight under a penalty, the root of the number of toxic documents, that chance differences
     between classes reach. In a pair: those whose joint occurrence is toxic more often than the single terms explain.
     """
-    alone = linear(terms, first, labels, size, max(1.0, PENALTY * np.sqrt(labels.sum())), SCREEN_ROUNDS)[:-1] != 0
+    alone = lasso(terms, first, labels, size, max(1.0, PENALTY * np.sqrt(labels.sum()))) != 0
     number = np.cumsum(alone) - 1
     kept = alone[terms]
-    own, own_first = number[terms[kept]], np.concatenate([[0], np.cumsum(kept)])[first]
     # The chosen terms without the penalty, which would leave some of their own effect to the pairs.
-    w = linear(own, own_first, labels, int(alone.sum()), 0.0, REFIT_ROUNDS)
-    row = np.repeat(np.arange(len(labels)), np.diff(own_first))
-    chance = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[own], minlength=len(labels)) + w[-1], -40, 40)))
+    chance = refitted(number[terms[kept]], np.concatenate([[0], np.cumsum(kept)])[first], labels, int(alone.sum()))
     return alone | paired(terms, first, labels - chance, chance * (1 - chance), size)
 
 
