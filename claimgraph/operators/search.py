@@ -11,7 +11,10 @@ from claimgraph.functions.text import (
     trigrams,
     windows_of,
 )
+from claimgraph.operators.ingest import key_bucket, opened
 from claimgraph.schema import NAME_SIMILARITY_FLOOR
+from claimgraph.session import materialise
+from claimgraph.sources.runs import Commit, RunLog
 
 
 def _query_keys(queries: DataFrame, frequencies: DataFrame, floor: float) -> DataFrame:
@@ -65,11 +68,23 @@ def match_names(
     ``queries``: ``q``, at least two characters. A match is as similar as ``floor``
     or contains the query, ignoring case. Repeated names are matched once.
     """
-    queries = queries.where(F.length(F.trim("q")) >= 2).select("q").distinct()
     distinct = names.select("name").distinct().withColumn("grams", trigrams(F.col("name")))
-    index = _index(distinct)
-    wanted = queries.select(F.explode(_keys_of_query()).alias("_k")).select("_k.*").distinct()
-    posting = index.join(wanted, ["kind", "gram"], "left_semi")
+    return _matched(queries, _index(distinct), floor)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """Queries of two characters or more, each once."""
+    return queries.where(F.length(F.trim("q")) >= 2).select("q").distinct()
+
+
+def _wanted(queries: DataFrame) -> DataFrame:
+    """The index keys that queries may be found under."""
+    return _asked(queries).select(F.explode(_keys_of_query()).alias("_k")).select("_k.*").distinct()
+
+
+def _matched(queries: DataFrame, index: DataFrame, floor: float) -> DataFrame:
+    """:func:`match_names` on index rows, which are cut to the queries' keys first."""
+    queries, posting = _asked(queries), index.join(_wanted(queries), ["kind", "gram"], "left_semi")
     frequencies = posting.groupBy("kind", "gram").agg(F.count("*").alias("names"))
     keys = _query_keys(queries, frequencies, floor)
     candidates = posting.join(keys, ["kind", "gram"]).select("q", "name", "grams").distinct()
@@ -84,6 +99,39 @@ def match_names(
     )
 
 
+# The kept index ------------------------------------------------------------------------
+PARTS = {"name_index": "bucket", "indexed_names": "bucket"}
+_INDEX = "kind string, gram string, name string, grams array<string>, bucket int"
+_INDEXED = "name string, bucket int"
+
+
+def publish_names(log: RunLog, run_id: str, names: DataFrame) -> Commit:
+    """Add names (``name``) to the published index, such as those of the entities that a change has touched.
+
+    Names that are indexed already are looked up in the parts that can hold them and not written again. A name that
+    nobody bears any more stays: a search joins what it finds to the names of the day.
+    """
+    def build(at: int) -> dict[str, DataFrame]:
+        fresh = names.select("name").where("name IS NOT NULL").distinct()
+        known = opened(log.table("indexed_names", at, schema=_INDEXED), fresh)
+        fresh = materialise(fresh.join(known, "name", "left_anti"), "names")
+        index = _index(fresh.withColumn("grams", trigrams(F.col("name")))).select("kind", "gram", "name", "grams")
+        return {
+            "name_index": index.distinct().withColumn("bucket", key_bucket("kind", "gram")),
+            "indexed_names": fresh.withColumn("bucket", key_bucket("name")),
+        }
+
+    return log.publish(run_id, build, PARTS)
+
+
+def match_published(
+    log: RunLog, queries: DataFrame, floor: float = NAME_SIMILARITY_FLOOR, at: int | None = None
+) -> DataFrame:
+    """:func:`match_names` on the published index: only the parts with the queries' own keys are read."""
+    index = opened(log.table("name_index", at, schema=_INDEX), _wanted(queries).select("kind", "gram"))
+    return _matched(queries, index, floor)
+
+
 def search_entities(
     queries: DataFrame,
     name_rows: DataFrame,

@@ -13,6 +13,7 @@ from claimgraph.plans.corpus import Corpus, attribute_id
 from claimgraph.plans.oracle import BAND, UNDATED, oracle
 from claimgraph.plans.registry import query
 from claimgraph.session import fresh_path
+from claimgraph.sources.runs import RunLog
 from claimgraph.streaming import projection
 
 # Search ----------------------------------------------------------------------
@@ -90,6 +91,16 @@ def _(c: Corpus) -> DataFrame:
     return search.match_names(asked(c), name_rows(c)).withColumn("similarity", F.round("similarity", 9))
 
 
+@query("n02b_match_on_kept_index", oracle("SELECT q, name, round(similarity,9) AS similarity FROM hits", SEARCH))
+def _(c: Corpus) -> DataFrame:
+    """The same matches from a published index, built from half of the entities and brought up to date with the rest."""
+    log, names = RunLog(c.spark, fresh_path(c.spark, "index")), name_rows(c)
+    half = F.pmod(F.abs("entity_id"), F.lit(2)) == 0
+    search.publish_names(log, "base", names.where(half))
+    search.publish_names(log, "increment", names.where(~half))
+    return search.match_published(log, asked(c)).withColumn("similarity", F.round("similarity", 9))
+
+
 @query(
     "n03_search_entities",
     oracle(

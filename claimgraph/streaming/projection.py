@@ -7,6 +7,7 @@ changes nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from claimgraph.operators.history import fold_accumulators, status_of_fold
 from claimgraph.operators.models import claims_of, rebuild_entity_summary, touched_entities
+from claimgraph.sources.runs import RunLog
 
 
 def read_feed(
@@ -29,20 +31,39 @@ def read_feed(
     return reader.parquet(path)
 
 
-def _append_versions(target: str) -> Callable[[DataFrame, int], None]:
-    """Write a batch under its own folder; a repeated batch replaces itself."""
+def _publisher(target: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """Commit a batch to the log at ``target``, once.
+
+    A run is named by the query, whose id its checkpoint holds, and the batch. So a batch delivered again is known
+    by its name, and a query with a new checkpoint, whose batches count from 0 anew, writes newer versions all the same:
+    versions are numbered by the commit.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        query = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"])["id"]
+        RunLog(spark, target).publish(
+            f"{query}-{batch_id}", lambda at: {"rows": batch.withColumn("version", F.lit(at + 1))}
+        )
 
     return write
 
 
-def latest_versions(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """The newest row per key over all batches written so far."""
-    rows = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
-    rest = [c for c in rows.columns if c not in (key, "batch")]
-    newest = F.max_by(F.struct(*rest), "batch").alias("_v")
-    return rows.groupBy(key).agg(newest).select(key, "_v.*")
+def latest_versions(spark: SparkSession, target: str, key: str, at: int | None = None) -> DataFrame:
+    """The newest row per key over all batches committed so far."""
+    return _newest(RunLog(spark, target).table("rows", at), key).drop("version")
+
+
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("_v")).select(key, "_v.*")
+
+
+def compact_versions(spark: SparkSession, target: str, key: str) -> None:
+    """Keep the newest row per key alone; what readers get stays the same, and they read less for it."""
+    log = RunLog(spark, target)
+    log.publish(
+        f"compact-{log.head()}", lambda at: {"rows": _newest(log.table("rows", at), key)}, replaces=("rows",)
+    )
 
 
 def stream_status(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -60,7 +81,7 @@ def stream_status(events: DataFrame, target: str, checkpoint: str) -> StreamingQ
         folded.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(_append_versions(target))
+        .foreachBatch(_publisher(target, checkpoint))
         .start()
     )
 
@@ -77,7 +98,7 @@ def start_projection(
     ``entities`` and ``claims`` are called per batch and must read the tables afresh.
     ``AvailableNow`` drains all pending changes and stops.
     """
-    write = _append_versions(target)
+    write = _publisher(target, checkpoint)
 
     def project(batch: DataFrame, batch_id: int) -> None:
         current = claims()
