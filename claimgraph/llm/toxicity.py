@@ -30,7 +30,8 @@ NEWTON_STEPS = 12
 PAIR_DOCUMENTS = 10
 PAIR_DEVIATIONS = 6.0
 PAIR_OVER_TERMS = 1.5
-PAIR_CELLS = 1 << 21  # pairs counted at once
+#: Pairs are sought among so many terms at most, those of most toxic documents of the sample.
+PAIR_TERMS = 2000
 EPOCHS = 250
 RATE = 0.05
 L2 = 0.3
@@ -130,48 +131,35 @@ def screen(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, size: int)
     kept = alone[terms]
     # The chosen terms without the penalty, which would leave some of their own effect to the pairs.
     chance = refitted(number[terms[kept]], np.concatenate([[0], np.cumsum(kept)])[first], labels, int(alone.sum()))
-    return alone | paired(terms, first, labels - chance, chance * (1 - chance), size)
+    return alone | paired(terms, first, labels, chance, size)
 
 
-def paired(terms: np.ndarray, first: np.ndarray, surplus: np.ndarray, variance: np.ndarray, size: int) -> np.ndarray:
-    """Terms of pairs whose documents' ``surplus`` is far beyond chance and beyond that of either term.
-
-    Pairs are counted for a stretch of terms at a time: each document that holds one of them adds all its terms.
-    """
+def paired(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, chance: np.ndarray, size: int) -> np.ndarray:
+    """Terms of pairs whose documents are toxic far beyond their ``chance``, and farther than those of either term."""
     out = np.zeros(size, dtype=bool)
+    row = np.repeat(np.arange(len(labels)), np.diff(first))
     often = np.bincount(terms, minlength=size) >= PAIR_DOCUMENTS
-    kept = often[terms]
-    first = np.concatenate([[0], np.cumsum(kept)])[first]
-    names = np.flatnonzero(often)
+    toxic = np.where(often, np.bincount(terms, labels[row], minlength=size), 0)
+    names = np.argsort(-toxic, kind="stable")[:PAIR_TERMS]
+    names = names[toxic[names] > 0]
     number = np.full(size, -1)
     number[names] = np.arange(len(names))
-    own, n = number[terms[kept]], len(names)
-    row, length = np.repeat(np.arange(len(surplus)), np.diff(first)), np.diff(first)
-    single = np.bincount(own, surplus[row], minlength=n) / np.sqrt(np.bincount(own, variance[row], minlength=n) + 1e-9)
-    order = np.argsort(own, kind="stable")
-    ends = np.searchsorted(own[order], np.arange(n + 1))
-    step = max(1, PAIR_CELLS // max(1, n))
-    for low in range(0, n, step):
-        high = min(low + step, n)
-        cells = np.zeros((3, (high - low) * n))
-        held = order[ends[low] : ends[high]]  # occurrences of this stretch's terms
-        cut = np.searchsorted(np.cumsum(length[row[held]]), np.arange(PAIR_CELLS, length[row[held]].sum() + PAIR_CELLS, PAIR_CELLS))
-        for i, j in zip(np.append(0, cut), np.append(cut, len(held))):
-            some = held[i:j]
-            if not len(some):
-                continue
-            many = length[row[some]]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[row[some]], many)
-            cell = np.repeat((own[some] - low) * n, many) + own[at]
-            for k, value in enumerate((surplus, variance, np.ones(len(surplus)))):
-                cells[k] += np.bincount(cell, np.repeat(value[row[some]], many), minlength=cells.shape[1])
-        z = cells[0] / np.sqrt(cells[1] + 1e-9)
-        a, b = np.divmod(np.arange(cells.shape[1]), n)
-        a += low
-        floor = PAIR_OVER_TERMS * np.maximum(np.abs(single[a]), np.abs(single[b]))
-        found = (a != b) & (cells[2] >= PAIR_DOCUMENTS) & (z >= np.maximum(PAIR_DEVIATIONS, floor))
-        out[names[a[found]]] = True
-        out[names[b[found]]] = True
+    kept = number[terms] >= 0
+    own, row, first = number[terms[kept]], row[kept], np.concatenate([[0], np.cumsum(kept)])[first]
+    sums = np.zeros((3, len(names), len(names)), dtype=np.float32)  # surplus, variance and documents of every pair
+    for low in range(0, len(labels), 1000):  # so many rows are dense at once
+        high = min(low + 1000, len(labels))
+        x = np.zeros((high - low, len(names)), dtype=np.float32)
+        x[row[first[low] : first[high]] - low, own[first[low] : first[high]]] = 1
+        p = chance[low:high]
+        for k, value in enumerate((labels[low:high] - p, p * (1 - p), np.ones(high - low))):
+            sums[k] += x.T @ (x * value[:, None].astype(np.float32))
+    z = sums[0] / np.sqrt(sums[1] + 1e-9)
+    single = np.abs(np.diag(z))
+    floor = np.maximum(PAIR_DEVIATIONS, PAIR_OVER_TERMS * np.maximum(single[:, None], single[None, :]))
+    found = (z >= floor) & (sums[2] >= PAIR_DOCUMENTS)
+    np.fill_diagonal(found, False)
+    out[names[found.any(axis=0)]] = True
     return out
 
 
