@@ -22,6 +22,7 @@ except ImportError:  # pragma: no cover - older interpreters
     import sre_parse as sre_parser
 
 MOST_STRINGS = 64
+BLOCK = 100  # matches of a text that are placed together
 _SPANS = "array<struct<start:int,no:int,end:int,kind:string>>"
 
 
@@ -151,21 +152,44 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
             (F.char_length(x["v"]) >= rule.least).alias("good"),
         ),
     )
-    state = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(
-                x["good"],
-                F.concat(s["spans"], F.array(F.struct(
-                    (s["at"] + x["gap"]).alias("start"), F.lit(number).alias("no"),
-                    (s["at"] + x["gap"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"),
-                ))),
-            ).otherwise(s["spans"]).alias("spans"),
-        ),
-    )
-    return F.when(text.rlike(rule.pattern), state["spans"]).otherwise(F.array().cast(_SPANS))
+    # A list that grows by one copies itself each time, so matches are placed a block at a time: first how long each
+    # block is, then where it begins, then its spans.
+    def in_blocks(rows: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.greatest(F.size(rows), F.lit(1)) - 1) / BLOCK).cast("int")),
+            lambda b: F.slice(rows, b * BLOCK + 1, BLOCK),
+        )
+
+    def begins(blocks: Column) -> Column:
+        return F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")),
+            lambda s, block: F.struct(
+                (s["at"] + F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["size"])).alias("at"),
+                F.concat(s["begins"], F.array(s["at"])).alias("begins"),
+            ),
+        )["begins"]
+
+    def placed(block: Column, begin: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("spans")),
+            lambda s, x: F.struct(
+                (s["at"] + x["gap"] + x["size"]).alias("at"),
+                F.when(
+                    x["good"],
+                    F.concat(s["spans"], F.array(F.struct(
+                        (s["at"] + x["gap"]).alias("start"), F.lit(number).alias("no"),
+                        (s["at"] + x["gap"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"),
+                    ))),
+                ).otherwise(s["spans"]).alias("spans"),
+            ),
+        )["spans"]
+
+    # An array of one names its content, so that it is worked out once and not for every block.
+    blocks = F.transform(F.array(lengths), in_blocks)
+    spans = F.flatten(F.transform(blocks, lambda b: F.flatten(F.zip_with(b, begins(b), placed))))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -198,9 +222,6 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
-
-
-
 def _marked(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``docs`` with the sorted spans of each text as ``__spans``."""
     may = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
