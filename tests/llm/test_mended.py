@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from claimgraph.llm import fertility, mixing, near, toxicity
+from claimgraph.llm import fertility, mixing, near, secrets, toxicity
 
 PROSE = "the of and to in that is was for on with as by at from it an be this are".split()
 
@@ -130,5 +130,20 @@ def test_chance_gives_no_pair_a_weight():
     terms, first = toxicity.term_sets(pa.array(texts))
     own = np.unique(terms, return_inverse=True)[1]
     chance = np.full(len(texts), np.mean(labels))
-    assert not toxicity.paired(own, first, np.array(labels) - chance, chance * (1 - chance), own.max() + 1).any()
+    assert not toxicity.paired(own, first, np.array(labels, dtype=float), chance, own.max() + 1).any()
     assert odds_of(texts, labels, texts[:50])[1].max() < 0.5
+
+
+# Secrets --------------------------------------------------------------------------------
+
+
+def test_thousands_of_secrets_in_one_text_are_placed(spark):
+    rng = random.Random(7)
+    text, expected = "", []
+    for i in range(2050):  # many blocks of matches, the last one not full
+        text += rng.choice(["é ", "so it goes, ", "\n"])
+        value = f"ab{i:05d}" if i % 3 else "short"
+        expected += [("assign", len(text), len(text) + len(f"token={value}"))] if i % 3 else []
+        text += f"token={value} "
+    found = secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert [(s["kind"], s["start"], s["end"]) for s in found] == expected
