@@ -36,6 +36,8 @@ _SIDE = re.compile(
 )
 _BOXES = frozenset("div section article main header nav aside ul ol table form body".split())
 MOST_BOXES = 12
+#: Characters that make a form a page, and an article more than a teaser.
+PAGE_FORM, PART = 200, 300
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
@@ -218,12 +220,34 @@ def _linked(node: Node) -> int:
     return sum(len(text_of(k)) if k.tag == "a" else _linked(k) for k in node.kids)
 
 
+def _open_forms(root: Node) -> None:
+    """Forms that are the page itself become plain boxes: those around an article, or around nearly all that is said."""
+    def said(node: Node, forms: bool) -> int:
+        return len(text_of(node, lambda n: _kind_aside(n) and not (forms and n.tag == "form")))
+
+    for form in _find(root, lambda n: n.tag == "form", [], lambda n: n.tag != "form" and _kind_aside(n)):
+        around = _find(form, lambda n: _is_article(n) or _is_main(n), [], lambda n: False)
+        size = said(form, True)
+        if around or (size >= PAGE_FORM and 5 * size >= 4 * said(root, True)):
+            form.tag = "div"
+
+
+def _parts(best: Node, inside: list[Node], sizes: list[int]) -> Node:
+    """The box of an article that is told in several: siblings about as long as the longest, none of them a teaser."""
+    like = [
+        n for n, size in zip(inside, sizes, strict=True)
+        if n.up is best.up and 2 * size >= max(sizes) and size >= PART and 5 * _linked(n) <= size
+    ]
+    return best.up if best.up is not None and len(like) > 1 else best
+
+
 def main_text(root: Node) -> str:
     """The text of the article, without what names, kinds, marks as template or links tell apart from it.
 
     Names only hint: a box that is most of its surroundings is kept, an article inside a hinted box is taken where
     there is no other and it says more than the rest, and a page with text outside asides by kind is never left empty.
     """
+    _open_forms(root)
     layout = _layout(root)
 
     def aside(node: Node) -> bool:
@@ -232,7 +256,7 @@ def main_text(root: Node) -> str:
     def largest(away) -> Node | None:
         inside = _find(root, _is_article, [], away) or _find(root, _is_main, [], away)
         sizes = [len(text_of(n, aside)) for n in inside]
-        return inside[sizes.index(max(sizes))] if inside and max(sizes) else None
+        return _parts(inside[sizes.index(max(sizes))], inside, sizes) if inside and max(sizes) else None
 
     plain = largest(aside)
     text = _taken(root, plain, aside)
