@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from claimgraph.llm import fertility, mixing, near, secrets, toxicity
+from claimgraph.llm import fertility, mixing, near, secrets, toxicity, wrapper
+from claimgraph.llm.dom import parse
 
 PROSE = "the of and to in that is was for on with as by at from it an be this are".split()
 
@@ -147,3 +148,28 @@ def test_thousands_of_secrets_in_one_text_are_placed(spark):
         text += f"token={value} "
     found = secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
     assert [(s["kind"], s["start"], s["end"]) for s in found] == expected
+
+
+# HTML extraction ------------------------------------------------------------------------
+
+
+def test_a_page_inside_a_form_is_not_lost():
+    story = "<h1>Title</h1>" + "".join(f"<p>Sentence {i} of a story that goes on for a while.</p>" for i in range(8))
+    whole = "Title " + " ".join(f"Sentence {i} of a story that goes on for a while." for i in range(8))
+    nav = "<nav><a href='/'>Home</a> <a href='/n'>News</a></nav>"
+    for inside in (f"<article>{story}</article>", story):
+        page = f"<body><form id='aspnetForm'>{nav}{inside}<input name='q'><label>Search</label></form></body>"
+        assert wrapper.main_text(parse(page)) == whole
+    beside = f"<body>{nav}<article>{story}</article><form><p>Leave your address and we will write.</p></form></body>"
+    assert wrapper.main_text(parse(beside)) == whole
+    assert wrapper.main_text(parse("<body><form><p>Sign in</p><label>Name</label><input></form></body>")) == ""
+
+
+def test_a_story_in_two_articles_is_whole_and_teasers_are_not_taken():
+    part = lambda k: "".join(f"<p>Part {k} sentence {i} says something of some length here.</p>" for i in range(9))
+    said = lambda k: " ".join(f"Part {k} sentence {i} says something of some length here." for i in range(9))
+    page = f"<body><main><article>{part(1)}</article><article>{part(2)}</article></main></body>"
+    assert wrapper.main_text(parse(page)) == said(1) + " " + said(2)
+    teaser = "<article><a href='/x'>Something else that is worth a look, says the site</a></article>"
+    page = f"<body><main><article>{part(1)}</article>{teaser * 4}</main></body>"
+    assert wrapper.main_text(parse(page)) == said(1)
