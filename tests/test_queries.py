@@ -26,6 +26,9 @@ CHOSEN = [
     "i07_import_entities", "i15_import_report",
     "x01_as_of", "x02_canonical_ids", "x04b_block_pairs", "x08b_monotone_map",
     "p08_refresh_entities", "t01_projection", "a05_supersede", "i06_split_rejects", "i09_version_records",
+    "i11b_published_claims", "i16b_commit_log", "x06b_inferred_claims", "x02c_incremental_canonical",
+    "h01c_status_from_snapshots", "r05b_counts_on_adjacency", "r22c_paths_on_adjacency", "n02b_match_on_kept_index",
+    "m19b_whole_transform", "m25b_letter_transform", "m26b_letter_registries",
     "r08_ranked_ties", "s06_content_hash", "s08_manifest", "x06_split_candidates", "x07_er_quality",
 ]
 
