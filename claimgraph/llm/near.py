@@ -184,15 +184,13 @@ def _postings(classes: DataFrame, matches: int) -> DataFrame:
     ).select("rep", "n_shingles", "centre", "p.k", "p.value")
 
 
-def _key(k, value):
-    """A posting in one number."""
-    return F.shiftleft(k.cast("long"), 32).bitwiseOR(value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def _agree(matches: int):
-    """Whether the signatures of ``a`` and ``b`` collide often enough."""
-    same = F.zip_with("signature_a", "signature_b", lambda x, y: F.when(x == y, F.lit(True)))
-    return F.size(F.array_compact(same)) >= matches
+def _collided():
+    """The coordinates in which the signatures of ``a`` and ``b`` agree, as bits."""
+    bits = F.lit(0).cast("long")
+    for k in range(COORDINATES):
+        same = F.col("signature_a")[k] == F.col("signature_b")[k]
+        bits = bits.bitwiseOR(F.when(same, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return bits
 
 
 def near_duplicates(
@@ -303,9 +301,9 @@ def near_duplicates(
         .where("one < two").select(*in_list, "main")
     )
     in_open = placed.join(open_lists, in_list).select("rep").distinct()
+    # The coordinates that a class is posted under, as bits: two classes share a list where both are and agree.
     described_by = (
-        posted.join(in_open, "rep", "left_semi").groupBy("rep")
-        .agg(F.collect_list(_key(F.col("k"), F.col("value"))).alias("keys"))  # as many as the prefix has
+        posted.join(in_open, "rep", "left_semi").groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("under"))
         .join(classes.select("rep", "parity", "signature"), "rep")
     )
     opened = scratch.write(
@@ -314,15 +312,18 @@ def near_duplicates(
         .join(described_by, "rep"),
         "open-lists",
     )
-    sides = ("own", "rep", "n_shingles", "component", "out", "keys", "parity", "signature")
+    sides = ("own", "rep", "n_shingles", "component", "out", "under", "parity", "signature")
     a = opened.where("out").select(*in_list, *(F.col(c).alias(f"{c}_a") for c in sides))
     b = opened.select(*in_list, *(F.col(c).alias(f"{c}_b") for c in sides))
     apart = F.expr("component_a <> component_b AND (NOT out_b OR rep_a < rep_b) AND (own_a OR own_b)")
     # A pair may share many lists and is met in the first of them alone.
-    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == _key(a["k"], a["value"])
+    shared = _collided().bitwiseAND(F.col("under_a")).bitwiseAND(F.col("under_b"))
+    once = shared.bitwiseAND(-shared) == F.call_function("shiftleft", F.lit(1).cast("long"), a["k"])
     # All tests are part of the join: only pairs of like sizes, parities and signatures leave it, each once.
     crossing = scratch.write(
-        a.join(b, [*(a[c] == b[c] for c in in_list), apart, _near_enough(similarity), _agree(matches), once])
+        a.join(b, [
+            *(a[c] == b[c] for c in in_list), apart, _near_enough(similarity), F.bit_count(_collided()) >= matches, once,
+        ])
         .select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")),
         "crossing",
     )
