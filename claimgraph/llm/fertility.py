@@ -166,7 +166,8 @@ def quality(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     ))
     bands = scratch.write(bands, "bands")
     inside = F.lit(True)
-    unsure = 1 + F.lit(float(SHORT)) / F.col("n_tokens")
+    # A text without tokens has failed the base rule; it must only not divide by them.
+    unsure = 1 + F.lit(float(SHORT)) / F.greatest(F.col("n_tokens"), F.lit(1))
     for m in MEASURES:
         low, high = F.col(f"__{m}")[0], F.col(f"__{m}")[1]
         reach = F.greatest(F.lit(LEAST_REACH[m]), WIDTH * (high - low)) * unsure
