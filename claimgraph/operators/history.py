@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions.confidence import effective_confidence
 from claimgraph.operators.ordered import carry_before
 from claimgraph.schema import EVENT_TYPES
+from claimgraph.session import materialise
 
 
 def _latest(kind: str) -> Column:
@@ -42,10 +43,16 @@ def status_of_fold() -> Column:
 def illegal_disputes(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Disputes raised while their claim stood superseded.
 
-    Only claims with a supersede can have one, so the log is first cut down to
-    those; their events are then ordered in time buckets.
+    Only claims with a dispute after their first supersede can have one, so the log is first
+    cut down to those; their events are then ordered in time buckets.
     """
-    suspects = events.where(F.col("event_type") == "supersede").select("claim_id")
+    kind, place = F.col("event_type"), F.struct("occurred_at", "id")
+    suspects = (
+        events.where(kind.isin("dispute", "supersede")).groupBy("claim_id")
+        .agg(F.min(F.when(kind == "supersede", place)).alias("_ended"), F.max(F.when(kind == "dispute", place)).alias("_last"))
+        .where(F.col("_ended") < F.col("_last")).select("claim_id")
+    )
+    suspects = materialise(suspects, "suspects")  # so that its size is known: usually few claims, and the log stays put
     moves = events.where(F.col("event_type").isin("assert", "dispute", "supersede")).join(
         suspects, "claim_id", "left_semi"
     )
@@ -68,6 +75,8 @@ def fold_status(events: DataFrame) -> DataFrame:
     ``error`` names what a strict replay would refuse: an event kind outside the
     vocabulary, a dispute of a superseded claim, or a log that sets no status.
     """
+    # The fold and the search for illegal disputes read the log three times, which may be dear to derive.
+    events = materialise(events.select("id", "claim_id", "event_type", "occurred_at"), "log")
     folded = events.groupBy("claim_id").agg(
         *[c.alias(n) for n, c in fold_accumulators().items()],
         F.max(~F.col("event_type").isin(*EVENT_TYPES)).alias("unknown"),
