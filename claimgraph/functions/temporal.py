@@ -122,7 +122,11 @@ def _coded_edge(key: Column, year: Column, side: int) -> Column:
 
 def interpret_endpoint(code: Column, year: Column) -> Column:
     """``struct<earliest, latest, approximate>`` of one coded year; unknown code = IN."""
-    key = F.upper(clean_code(code))
+    return coded_point(F.upper(clean_code(code)), year)
+
+
+def coded_point(key: Column, year: Column) -> Column:
+    """:func:`interpret_endpoint` of a code that is clean and in capitals already; it is read several times."""
     circa = [name for name, rule in DATE_CODES.items() if rule[2]]
     return F.struct(
         _coded_edge(key, year, 0).alias("earliest"),

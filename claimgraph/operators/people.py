@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.confidence import native_confidence, unscored
-from claimgraph.functions.temporal import clean_code, interpret_endpoint, inverted, parse_year
+from claimgraph.functions.temporal import clean_code, coded_point, interpret_endpoint, inverted, parse_year
 from claimgraph.functions.text import normalize_name
-from claimgraph.functions.wire import json_object, member, raw_member
+from claimgraph.functions.wire import json_object, member
+from claimgraph.operators.ordered import once
 from claimgraph.schema import (
     BOUNDS,
     INTERCHANGE_CLAIM,
@@ -278,30 +279,30 @@ def duplicate_pairs(rels: DataFrame) -> DataFrame:
 
 
 def _endpoints(rels: DataFrame) -> DataFrame:
-    start_year = parse_year(F.col("start_year"))["year"]
-    end_year = parse_year(F.col("end_year"))["year"]
-    start = interpret_endpoint(F.col("start_type"), start_year)
-    end = interpret_endpoint(F.col("end_type"), end_year)
-
-    def native(code: str, year: Column) -> Column:
-        text = json_object(
-            member("type_code", clean_code(F.col(code))), member("year", year.cast("string"))
-        )
-        return F.when(year.isNotNull(), text)
-
-    return rels.withColumns(
-        {
-            BOUNDS[0]: start["earliest"],
-            BOUNDS[1]: start["latest"],
-            BOUNDS[2]: end["earliest"],
-            BOUNDS[3]: end["latest"],
-            "approximate": start["approximate"] | end["approximate"],
-            "original": json_object(
-                raw_member("end", native("end_type", end_year)),
-                raw_member("start", native("start_type", start_year)),
-            ),
-        }
-    )
+    """Bounds and native form. Years, codes and bounds are each read many times, so each is worked out once a row."""
+    read = {}
+    for side in ("start", "end"):
+        code = clean_code(F.col(f"{side}_type"))
+        read |= {f"_{side}_year": parse_year(F.col(f"{side}_year"))["year"], f"_{side}_code": code, f"_{side}_key": F.upper(code)}
+
+    def point(side: str) -> Column:
+        return coded_point(F.col(f"_{side}_key"), F.col(f"_{side}_year"))
+
+    def native(side: str) -> Column:
+        year = F.col(f"_{side}_year")
+        return F.when(year.isNotNull(), F.struct(F.col(f"_{side}_code").alias("type_code"), year.cast("string").alias("year")))
+
+    points = once(once(rels, **read), _start=point("start"), _end=point("end"))
+    start, end = F.col("_start"), F.col("_end")
+    made = {
+        BOUNDS[0]: start["earliest"],
+        BOUNDS[1]: start["latest"],
+        BOUNDS[2]: end["earliest"],
+        BOUNDS[3]: end["latest"],
+        "approximate": start["approximate"] | end["approximate"],
+        "original": F.to_json(F.struct(native("end").alias("end"), native("start").alias("start"))),
+    }
+    return points.withColumns(made).select(*rels.columns, *made)
 
 
 def build_interval(rels: DataFrame) -> DataFrame:

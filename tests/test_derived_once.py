@@ -1,6 +1,6 @@
 """Costly inputs are derived once a query, costly expressions once a row, and no step gathers rows it need not."""
 
-from claimgraph.operators import history
+from claimgraph.operators import history, people
 
 
 def plan(df) -> str:
@@ -25,3 +25,16 @@ def test_fold_reads_its_log_once(spark, tmp_path):
         "a": ("superseded", None), "b": ("superseded", illegal), "c": ("disputed", None), "d": ("superseded", illegal),
         "e": (None, "no assert event"),
     }
+
+
+def test_years_are_parsed_once_a_row(spark):
+    rows = [("1500", 'a"f', "1_510", "CA"), ("x", "", "", "IN"), ("1520", "BF", "n.d.", None)]
+    rels = spark.createDataFrame(rows, "start_year string, start_type string, end_year string, end_type string")
+    timed = people.drop_inverted(people.build_interval(rels))
+    assert plan(timed).count("regexp_replace") == 2
+    found = [(r["original"], r["start_latest"] and r["start_latest"].year, r["approximate"]) for r in timed.collect()]
+    assert found == [
+        (r'{"end":{"type_code":"CA","year":"1510"},"start":{"type_code":"a\"f","year":"1500"}}', 1500, True),
+        ("{}", None, False),
+        ('{"start":{"type_code":"BF","year":"1520"}}', 1520, False),
+    ]
