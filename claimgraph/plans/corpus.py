@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions.temporal import inverted
 from claimgraph.operators import history, models
 from claimgraph.schema import BOUNDS, relation_types
+from claimgraph.session import materialise
 
 
 def customer_id(key: Column) -> Column:
@@ -369,6 +370,11 @@ class Corpus:
         """All claims with current status and confidence."""
         return self.ties.select(self.current_attributes.columns).unionByName(self.current_attributes)
 
+    def keep(self, *more: str) -> None:
+        """Write the current claims, for a query that reads them many times; ``more`` are columns of ties besides."""
+        self.current_attributes = materialise(self.current_attributes, "current-attributes")
+        self.ties = materialise(self.ties.select(*self.current_attributes.columns, *more), "ties")
+
     @cached_property
     def recorded_claims(self) -> DataFrame:
         """All claims as recorded: source confidence, no status."""

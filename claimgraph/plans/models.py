@@ -12,7 +12,7 @@ from claimgraph.operators.ingest import tally_runs
 from claimgraph.plans.corpus import Corpus, attribute_id
 from claimgraph.plans.oracle import BAND, UNDATED, oracle
 from claimgraph.plans.registry import query
-from claimgraph.session import fresh_path
+from claimgraph.session import fresh_path, materialise
 from claimgraph.sources.runs import RunLog
 from claimgraph.streaming import projection
 
@@ -182,10 +182,12 @@ def _(c: Corpus) -> DataFrame:
 @query("p08_refresh_entities", oracle("SELECT * FROM summary"))
 def _(c: Corpus) -> DataFrame:
     """A summary stale for all touched entities, refreshed: equals the full rebuild."""
-    touched = models.touched_entities(changes(c), c.claims)
-    stale = c.summary.withColumn("display_name", F.lit("stale")).join(touched, "entity_id", "left_semi")
-    kept = c.summary.join(touched, "entity_id", "left_anti")
-    return models.refresh_entities(stale.unionByName(kept), c.entities, c.claims, touched)
+    c.keep()
+    touched = materialise(models.touched_entities(changes(c), c.claims), "touched")
+    marked = c.summary.join(touched.withColumn("_touched", F.lit(True)), "entity_id", "left")
+    name = F.when(F.col("_touched"), F.lit("stale")).otherwise(F.col("display_name"))
+    stale = marked.withColumn("display_name", name).drop("_touched")
+    return models.refresh_entities(stale, c.entities, c.claims, touched)
 
 
 # Streams -------------------------------------------------------------------------

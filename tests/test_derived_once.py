@@ -1,6 +1,9 @@
 """Costly inputs are derived once a query, costly expressions once a row, and no step gathers rows it need not."""
 
+import pytest
+
 from claimgraph.operators import history, people
+from claimgraph.plans import all_queries
 
 
 def plan(df) -> str:
@@ -38,3 +41,9 @@ def test_years_are_parsed_once_a_row(spark):
         ("{}", None, False),
         ('{"start":{"type_code":"BF","year":"1520"}}', 1520, False),
     ]
+
+
+@pytest.mark.parametrize("name", ["p08_refresh_entities"])
+def test_ties_are_derived_once(spark, name):
+    files = all_queries()[0][name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert not [f for f in files if "lineitem" in f]
