@@ -23,6 +23,7 @@ def _query_keys(queries: DataFrame, frequencies: DataFrame, floor: float) -> Dat
     A name as similar as ``floor`` shares at least ``ceil(floor * n)`` of the
     query's n grams, so it holds one of the n - ceil(floor * n) + 1 rarest. A name
     containing the query holds all its substrings, so the rarest one is enough.
+    ``before`` holds the grams of the query that come before the key: a name with one of them is met there.
     """
     keys = queries.select("q", F.explode(_keys_of_query()).alias("key"))
     keys = keys.select("q", "key.*").join(frequencies, ["kind", "gram"], "left")
@@ -31,11 +32,11 @@ def _query_keys(queries: DataFrame, frequencies: DataFrame, floor: float) -> Dat
     needed = F.when(
         F.col("kind") == "gram", size - F.ceil(F.round(size * F.lit(floor), 9)) + 1
     ).otherwise(F.lit(1))
-    return (
-        keys.withColumns({"_i": F.row_number().over(order), "_n": needed})
-        .where(F.col("_i") <= F.col("_n"))
-        .select("q", "kind", "gram")
-    )
+    kept = keys.withColumns({"_i": F.row_number().over(order), "_n": needed}).where(F.col("_i") <= F.col("_n"))
+    # As many as the query has grams.
+    grams = F.collect_list(F.when(F.col("kind") == "gram", F.struct("_i", "gram"))).over(Window.partitionBy("q"))
+    earlier = F.filter("_grams", lambda g: (F.col("kind") == "part") | (g["_i"] < F.col("_i")))
+    return kept.withColumn("_grams", grams).select("q", "kind", "gram", earlier["gram"].alias("before"))
 
 
 def _tag(kind: str, grams):
@@ -49,7 +50,7 @@ def _keys_of_query():
 
 
 def _index(names: DataFrame) -> DataFrame:
-    """Index rows of a name: its trigrams, and its 2- and 3-character substrings."""
+    """Index rows of a name: its trigrams, and its 2- and 3-character substrings, each once."""
     keys = F.concat(
         _tag("gram", F.col("grams")),
         _tag("part", windows_of(F.col("name"), F.lit(3))),
@@ -87,7 +88,8 @@ def _matched(queries: DataFrame, index: DataFrame, floor: float) -> DataFrame:
     queries, posting = _asked(queries), index.join(_wanted(queries), ["kind", "gram"], "left_semi")
     frequencies = posting.groupBy("kind", "gram").agg(F.count("*").alias("names"))
     keys = _query_keys(queries, frequencies, floor)
-    candidates = posting.join(keys, ["kind", "gram"]).select("q", "name", "grams").distinct()
+    # A name meets a query at their first common key only, so pairs come out once and nobody has to gather them.
+    candidates = posting.join(keys, ["kind", "gram"]).where(~F.arrays_overlap("before", "grams")).select("q", "name", "grams")
     similarity = gram_similarity(trigrams(F.col("q")), F.col("grams"))
     return (
         candidates.withColumn("similarity", similarity)
@@ -117,7 +119,7 @@ def publish_names(log: RunLog, run_id: str, names: DataFrame) -> Commit:
         fresh = materialise(fresh.join(known, "name", "left_anti"), "names")
         index = _index(fresh.withColumn("grams", trigrams(F.col("name")))).select("kind", "gram", "name", "grams")
         return {
-            "name_index": index.distinct().withColumn("bucket", key_bucket("kind", "gram")),
+            "name_index": index.withColumn("bucket", key_bucket("kind", "gram")),
             "indexed_names": fresh.withColumn("bucket", key_bucket("name")),
         }
 

@@ -1,8 +1,10 @@
 """Costly inputs are derived once a query, costly expressions once a row, and no step gathers rows it need not."""
 
+import re
+
 import pytest
 
-from claimgraph.operators import history, people
+from claimgraph.operators import history, people, search
 from claimgraph.plans import all_queries
 
 
@@ -43,6 +45,16 @@ def test_years_are_parsed_once_a_row(spark):
     ]
 
 
+def test_a_name_meets_a_query_once_without_gathering(spark):
+    names = spark.createDataFrame([("steel bolt",), ("steel bolts",), ("a steel bolt aa",), ("Castor",)], "name string")
+    asked = spark.createDataFrame([("steel bolt",), ("st",)], "q string")
+    hits = search.match_names(asked, names)
+    assert not re.search(r"Aggregate \[q#\d+, name#\d+, grams#", plan(hits))
+    got = [(r["q"], r["name"]) for r in hits.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) >= {(q, n) for q in ("steel bolt", "st") for n in ("steel bolt", "steel bolts", "a steel bolt aa")} | {("st", "Castor")}
+
+
 @pytest.mark.parametrize("name", ["p08_refresh_entities"])
 def test_ties_are_derived_once(spark, name):
     files = all_queries()[0][name](spark, "/root/testdata/sf0.001").inputFiles()
