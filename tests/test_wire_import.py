@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from claimgraph import session
 from claimgraph.operators import ingest, ordered, validate
 from claimgraph.plans import all_queries, ingestion
 from claimgraph.plans.corpus import Corpus
@@ -35,6 +36,34 @@ def test_lines_are_made_after_their_numbers(spark, monkeypatch):
     assert set(lines.columns) == {"line_no", "line"}
 
 
+def test_hashes_are_made_after_the_numbers(spark, monkeypatch):
+    moved, real = [], ordered.materialise
+    monkeypatch.setattr(ordered, "materialise", lambda df, name: (moved.append(_plan(df)), real(df, name))[1])
+    corpus = Corpus(spark, FOLDER)
+    rows = ingestion.with_records(ordered.numbered(corpus.ties.select(*ingestion.TIE_KEYS), "claim_id"))
+    assert moved and not any("md5(" in plan for plan in moved)
+    whole = corpus.ties.select(*ingestion.TIE_PARTS)
+    made = rows.select(*ingestion.TIE_PARTS)
+    assert made.count() == whole.count() and made.exceptAll(whole).isEmpty()
+    moved.clear()
+    ingestion.wire_lines(corpus)
+    assert moved and not any("md5(" in plan for plan in moved)
+
+
+def test_shuffle_files_go_with_the_plan_that_made_them(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before, flag = shuffled(), spark.conf.get(session._CLEAN, "false")
+    kept = session.materialise(spark.range(0, 1000, 1, 8).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    assert not [n for n in shuffled() - before if n.endswith(".data")]
+    assert kept.count() == 7
+    assert spark.conf.get(session._CLEAN, "false") == flag
+
+
 def test_report_reads_the_lines_once(spark):
     lines = spark.createDataFrame([(1, "{"), (2, "7"), (3, "{")], "line_no bigint, line string")
     report = validate.validation_report(validate.validate_claims(lines))
