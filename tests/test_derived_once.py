@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from claimgraph.operators import history, people, search
+from claimgraph.operators import actions, history, people, search
+from claimgraph.operators import claims as reads
 from claimgraph.plans import all_queries
 
 
@@ -59,3 +60,51 @@ def test_a_name_meets_a_query_once_without_gathering(spark):
 def test_ties_are_derived_once(spark, name):
     files = all_queries()[0][name](spark, "/root/testdata/sf0.001").inputFiles()
     assert not [f for f in files if "lineitem" in f]
+
+
+def test_an_entity_view_derives_the_ties_once(spark):
+    files = all_queries()[0]["r15_entity_view"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert not [f for f in files if "lineitem" in f]
+
+
+def test_claims_without_sources_or_ends_are_counted_after_the_spread(spark):
+    claims = spark.sql(
+        "SELECT * FROM VALUES ('c1', 'associated-with', 1L, 2L, 0.5D), ('c2', 'has-name', 1L, NULL, NULL), "
+        "('c3', 'associated-with', 3L, 3L, NULL), ('c4', 'associated-with', 2L, 3L, 0.1D) "
+        "AS t(claim_id, predicate, subject_entity_id, object_entity_id, confidence_point)"
+    )
+    support = spark.createDataFrame(
+        [("c1", "r1"), ("c1", "r2"), ("c2", "r1"), ("c3", "r3")], "claim_id string, source_record_id string"
+    )
+    records = spark.createDataFrame([("r1", 7), ("r2", 7), ("r3", 8)], "source_record_id string, source_id bigint")
+    sources = spark.createDataFrame([(7, "s7"), (8, "s8")], "source_id bigint, slug string")
+    ids = spark.createDataFrame([(1,), (3,)], "entity_id bigint")
+    covered = reads.coverage_by_source(claims, support, records, sources, ids)
+    assert {tuple(r[c] for c in ("entity_id", "source_slug", "relationship_claims", "attribute_claims")) for r in covered.collect()} == {
+        (1, "s7", 1, 1), (3, "s8", 1, 0),
+    }
+    split = reads.scored_split(claims, ids)
+    assert {(r["entity_id"], r["scored"], r["unscored"]) for r in split.collect()} == {(1, 1, 1), (3, 1, 1)}
+    # The ends are spread once the sources are known, and no spread row is joined with the entities asked for.
+    for frame in (covered, split):
+        text = plan(frame)
+        assert text.index("LeftSemi") < text.index("Aggregate") < text.index("Generate explode")
+
+
+def test_a_batch_is_judged_once_for_the_queue(spark):
+    merged, refused = all_parts = actions.route_identity(
+        actions.judge(
+            spark.sql(
+                "SELECT * FROM VALUES (1L, 'dispute', 'a', 'identity', 'x'), (2L, 'dispute', 'b', 'identity', 'y'), "
+                "(3L, 'dispute', 'a', 'identity', 'z'), (4L, 'dispute', 'a', 'dating', 'w') "
+                "AS t(seq, kind, claim_id, ground, reason)"
+            ).selectExpr("*", "CAST(NULL AS double) AS point"),
+            spark.createDataFrame([("a", "asserted"), ("b", "asserted")], "claim_id string, status string"),
+        ),
+        spark.createDataFrame([("a", 9, 4), ("b", 5, None)], "claim_id string, subject_entity_id bigint, object_entity_id bigint"),
+        spark.createDataFrame([(4, 9, 0.5, "{}", "accepted")], "entity_a bigint, entity_b bigint, score double, features string, state string"),
+    )
+    assert not any("Window" in plan(part) for part in all_parts)
+    assert [(r["entity_a"], r["entity_b"], r["score"], r["state"]) for r in merged.collect()] == [(4, 9, 0.5, "accepted")]
+    assert '"reason":"z"' in merged.first()["features"]
+    assert [(r["seq"], r["claim_id"]) for r in refused.collect()] == [(2, "b")]
