@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.operators.ordered import carry_before, sequence_bucket
 from claimgraph.schema import DISPUTE_GROUNDS
+from claimgraph.session import materialise
 
 
 def refuse_time_travel(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +157,9 @@ def route_identity(
     pair disputed again keeps its score and state and takes the latest features.
     """
     ends = claims.select("claim_id", "subject_entity_id", "object_entity_id")
-    rows = judged.where(F.col("routed")).join(ends, "claim_id")
+    # Written once for the queue and the refusals, so a batch is judged once and the few routed rows go on alone.
+    routed = materialise(judged.where(F.col("routed")).select("seq", "kind", "claim_id", "reason"), "routed")
+    rows = routed.join(ends, "claim_id")
     literal = F.col("object_entity_id").isNull()
     refused = rows.where(literal).select(
         "seq", "kind", "claim_id",
