@@ -18,6 +18,7 @@ from claimgraph.functions.temporal import certainly_active, is_undated, possibly
 from claimgraph.operators.graph import adjacency, relationships
 from claimgraph.operators.history import asserted
 from claimgraph.schema import BOUNDS
+from claimgraph.session import materialise
 
 #: Ties of one entity that stay together.
 HUB_ROWS = 100_000
@@ -97,7 +98,9 @@ def publish_adjacency(
     """Publish the asserted ties of current ``claims`` below ``path``. Another session opens them with :class:`Adjacency`."""
     spark = claims.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = adjacency(relationships(asserted(claims))).select(*COLUMNS)
+    # The hubs are counted first, so the ties are written once before they are spread to their ends.
+    ties = materialise(relationships(asserted(claims)).select(*COLUMNS[2:]), "ties")
+    ends = adjacency(ties).select(*COLUMNS)
     hub_directory(ends, "entity_id", limit).write.parquet(f"{path}/hubs")
     hubs = spark.read.schema("entity_id bigint, pieces int").parquet(f"{path}/hubs")
     rows = dealt(ends, hubs, "entity_id", "claim_id")

@@ -4,9 +4,10 @@ import re
 
 import pytest
 
-from claimgraph.operators import actions, history, people, search
+from claimgraph.operators import actions, adjacency, history, people, search
 from claimgraph.operators import claims as reads
 from claimgraph.plans import all_queries
+from claimgraph.schema import BOUNDS
 
 
 def plan(df) -> str:
@@ -108,3 +109,15 @@ def test_a_batch_is_judged_once_for_the_queue(spark):
     assert [(r["entity_a"], r["entity_b"], r["score"], r["state"]) for r in merged.collect()] == [(4, 9, 0.5, "accepted")]
     assert '"reason":"z"' in merged.first()["features"]
     assert [(r["seq"], r["claim_id"]) for r in refused.collect()] == [(2, "b")]
+
+
+def test_ties_are_derived_once_for_the_published_adjacency(spark, monkeypatch, tmp_path):
+    spark.range(20).selectExpr(
+        "concat('c', id) AS claim_id", "'associated-with' AS predicate", "id % 3 AS subject_entity_id", "10 + id AS object_entity_id",
+        *[f"CAST(NULL AS date) AS {b}" for b in BOUNDS], "false AS approximate", "0.5D AS confidence_point", "'asserted' AS status",
+    ).write.parquet(f"{tmp_path}/claims")
+    read, real = [], adjacency.hub_directory
+    monkeypatch.setattr(adjacency, "hub_directory", lambda rows, *a: (read.extend(rows.inputFiles()), real(rows, *a))[1])
+    found = adjacency.publish_adjacency(spark.read.parquet(f"{tmp_path}/claims"), f"{tmp_path}/a", "ties_once", buckets=2, limit=5)
+    assert read and not [f for f in read if f"{tmp_path}/claims" in f]
+    assert found.ties.count() == 40 and {r["entity_id"] for r in found.hubs.collect()} == {0, 1, 2}
