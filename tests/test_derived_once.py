@@ -6,7 +6,8 @@ import pytest
 
 from claimgraph.operators import actions, adjacency, history, people, search
 from claimgraph.operators import claims as reads
-from claimgraph.plans import all_queries
+from claimgraph.plans import all_queries, publishing
+from claimgraph.plans.corpus import Corpus
 from claimgraph.schema import BOUNDS
 
 
@@ -121,3 +122,14 @@ def test_ties_are_derived_once_for_the_published_adjacency(spark, monkeypatch, t
     found = adjacency.publish_adjacency(spark.read.parquet(f"{tmp_path}/claims"), f"{tmp_path}/a", "ties_once", buckets=2, limit=5)
     assert read and not [f for f in read if f"{tmp_path}/claims" in f]
     assert found.ties.count() == 40 and {r["entity_id"] for r in found.hubs.collect()} == {0, 1, 2}
+
+
+def test_names_are_normalised_once_for_two_resolution_runs(spark, monkeypatch):
+    read, real = [], publishing.resolution.entity_links
+    monkeypatch.setattr(publishing, "_STORES", {})
+    monkeypatch.setattr(
+        publishing.resolution, "entity_links",
+        lambda scored, member, **bands: (read.extend(member.inputFiles()), real(scored, member, **bands))[1],
+    )
+    publishing.resolved(Corpus(spark, "/root/testdata/sf0.001"))
+    assert read and not [f for f in read if f.endswith("part.parquet")]
