@@ -6,8 +6,11 @@ from operator import and_
 from pyspark.sql import functions as F
 
 from claimgraph.operators import validate
-from tests.test_wire_import import _line, _record
+from claimgraph.plans import ingestion
+from claimgraph.plans.corpus import Corpus
+from tests.test_wire_import import _line, _plan, _record
 
+FOLDER = "/root/testdata/sf0.001"
 SCORE = {"kind": "source_native_scalar", "scale": "s", "raw": 1, "point": 0.5, "calibrated": False}
 # Lines and how many rules need a look: those whose part is not told to be in order.
 LOOKS = [
@@ -37,3 +40,8 @@ def test_only_parts_out_of_order_are_examined(spark):
         assert r["plain"] == all(r["told"])
     looks = [sum(not ok for ok in r["told"]) for r in out]
     assert all(a <= b for a, (_, b) in zip(looks, LOOKS, strict=True)), looks
+
+
+def test_a_line_is_written_once(spark):
+    lines = ingestion.wire_lines(Corpus(spark, FOLDER))
+    assert _plan(lines).count("StructsToJsonEvaluator") <= 2  # the line, and a part that is never in it
