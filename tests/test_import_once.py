@@ -5,7 +5,7 @@ from operator import and_
 
 from pyspark.sql import functions as F
 
-from claimgraph.operators import validate
+from claimgraph.operators import ingest, validate
 from claimgraph.plans import ingestion
 from claimgraph.plans.corpus import Corpus
 from tests.test_wire_import import _line, _plan, _record
@@ -45,3 +45,13 @@ def test_only_parts_out_of_order_are_examined(spark):
 def test_a_line_is_written_once(spark):
     lines = ingestion.wire_lines(Corpus(spark, FOLDER))
     assert _plan(lines).count("StructsToJsonEvaluator") <= 2  # the line, and a part that is never in it
+
+
+def test_store_is_derived_once_and_duplicates_are_looked_for_once(spark, monkeypatch):
+    written, real = [], ingest.materialise
+    monkeypatch.setattr(ingest, "materialise", lambda df, name: (written.append(name), real(df, name))[1])
+    corpus = Corpus(spark, FOLDER)
+    store = ingestion.store(corpus)
+    assert "Window" not in _plan(store.claims) + _plan(store.support)
+    ingestion.imported(corpus, into=store)
+    assert written.count("wanted") == 1
