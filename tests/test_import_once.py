@@ -53,5 +53,8 @@ def test_store_is_derived_once_and_duplicates_are_looked_for_once(spark, monkeyp
     corpus = Corpus(spark, FOLDER)
     store = ingestion.store(corpus)
     assert "Window" not in _plan(store.claims) + _plan(store.support)
-    ingestion.imported(corpus, into=store)
+    out = ingestion.imported(corpus, into=store)
     assert written.count("wanted") == 1
+    joined = out["claims"].select("claim_id", *ingest.IDENTITY).join(out["support"], "claim_id")
+    assert out["identities"].exceptAll(joined).isEmpty() and joined.exceptAll(out["identities"]).isEmpty()
+    assert "Join" not in _plan(out["identities"])
